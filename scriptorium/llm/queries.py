@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join
+from . import chat, decontaminate, fingerprint, ngram_join, toxicity
 from ._spark import table
 
 
@@ -14,5 +14,20 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_document_fingerprints(spark, sf_dir):
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_formatting(spark, sf_dir):
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_ngram_jaccard_join, op5_benchmark_decontamination, op7_document_fingerprints, op8_toxicity, op10_chat_formatting)
+}
+ORACLE_SQL: dict[str, str] = {"op10_chat_formatting": chat.ORACLE}
