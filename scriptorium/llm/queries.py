@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, ngram_join, toxicity
+from . import chat, decontaminate, fingerprint, html_text, language, ngram_join, pieces, toxicity
 from ._spark import table
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_language_id(spark, sf_dir):
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.vocabulary()).drop("text")
+
+
 def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +40,15 @@ def op10_chat_formatting(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_ngram_jaccard_join, op5_benchmark_decontamination, op7_document_fingerprints, op8_toxicity, op10_chat_formatting)
+    for f in (
+        op1_html_extraction,
+        op2_language_id,
+        op3_ngram_jaccard_join,
+        op4_sentencepiece,
+        op5_benchmark_decontamination,
+        op7_document_fingerprints,
+        op8_toxicity,
+        op10_chat_formatting,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op10_chat_formatting": chat.ORACLE}
