@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, html_text, language, ngram_join, pieces, toxicity
+from . import chat, decontaminate, fingerprint, html_text, language, licenses, ngram_join, pieces, secrets, toxicity
 from ._spark import table
 
 
@@ -26,6 +26,10 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scans(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_license_scans(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark, sf_dir):
     return chat.report(table(spark, sf_dir, "conversations"))
 
@@ -46,9 +54,11 @@ QUERIES = {
         op3_ngram_jaccard_join,
         op4_sentencepiece,
         op5_benchmark_decontamination,
+        op6_secret_scans,
         op7_document_fingerprints,
         op8_toxicity,
+        op9_license_scans,
         op10_chat_formatting,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op10_chat_formatting": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op9_license_scans": licenses.oracle(), "op10_chat_formatting": chat.ORACLE}
