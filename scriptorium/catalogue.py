@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import conversations, documents, events, scripts, star, streams, vectors  # noqa: F401  (they register their queries)
+from .plans._base import ORACLE_SQL, QUERIES  # noqa: F401
