@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 
 def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
     """Of the rows with one key the first in order. An aggregation with map-side
@@ -29,7 +31,7 @@ def greedy_clusters(df: DataFrame, text: str, order: str, threshold: float = 0.8
     in parallel rounds: a set is a seed once no earlier neighbour may still be one."""
     rows = df.select(F.col(text).alias("text"), F.col(order).alias("ord")).where(F.length(text) > 0).withColumn("chars", char_set(F.col("text")))
     sets = rows.groupBy("chars").agg(F.min(F.struct("ord", "text")).alias("f")).select("chars", F.col("f.ord").alias("ord"), F.size("chars").alias("n"))
-    sets = _kept(sets)
+    sets = saved(sets)
     rarity = sets.select(F.explode("chars").alias("c")).groupBy("c").agg(F.count("*").alias("df"))
     ranked = sets.select("ord", "n", F.explode("chars").alias("c")).join(rarity, "c")
     ordered = ranked.groupBy("ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "c"))).alias("s"))
@@ -40,8 +42,8 @@ def greedy_clusters(df: DataFrame, text: str, order: str, threshold: float = 0.8
     near = a.join(b, (F.col("a.c") == F.col("b.c")) & band).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j")).distinct()
     own = sets.select("ord", "chars")
     near = near.join(own.withColumnsRenamed({"ord": "i", "chars": "x"}), "i").join(own.withColumnsRenamed({"ord": "j", "chars": "y"}), "j")
-    edges = _kept(near.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= threshold).select("i", "j"))
-    state = _kept(sets.select("ord", F.lit(None).cast("long").alias("seed")))
+    edges = saved(near.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= threshold).select("i", "j"))
+    state = saved(sets.select("ord", F.lit(None).cast("long").alias("seed")))
     for _ in range(rounds):
         open_ = state.where("seed is null").select("ord")
         if not open_.limit(1).count():
@@ -53,14 +55,6 @@ def greedy_clusters(df: DataFrame, text: str, order: str, threshold: float = 0.8
         # taken once its least seed is before every open neighbour; a seed if nothing earlier is open or a seed
         taken = F.when(F.col("least").isNotNull() & (F.col("wait").isNull() | (F.col("least") < F.col("wait"))), F.col("least"))
         alone = F.when(F.col("least").isNull() & F.col("wait").isNull(), F.col("ord"))
-        state = _kept(new.select("ord", F.coalesce("seed", taken, alone).alias("seed")))
+        state = saved(new.select("ord", F.coalesce("seed", taken, alone).alias("seed")))
     seeds = sets.select("ord", "chars").join(state, "ord")
     return rows.join(seeds.select("chars", "seed"), "chars").select("text", "ord", "seed")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint; the folder is the session's, or one beside the warehouse where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    return df.checkpoint()

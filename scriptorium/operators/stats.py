@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 
 def normal_tail(z: Column) -> Column:
     """Two-sided p of a normal z: a rational approximation of the error function
@@ -32,7 +34,7 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     parallel with the totals of the ranges before added."""
     counts = df.groupBy(column).agg(F.count("*").alias("__n"))
     ranges = counts.repartitionByRange(column).withColumn("__p", F.spark_partition_id())
-    ranges = _kept(ranges)
+    ranges = saved(ranges)
     totals = ranges.groupBy("__p").agg(F.sum("__n").alias("__t"))  # a row for each partition
     before = totals.withColumn("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
     run = F.sum("__n").over(Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
@@ -41,12 +43,6 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranked.select(F.col(column).alias("__v"), rank.alias(out)), df[column].eqNullSafe(F.col("__v"))).drop("__v")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    from .dedup import _kept as kept
-
-    return kept(df)
-
-
 def bootstrap(df: DataFrame, value: str, groups: list[str], times: int = 200, seed: int = 7) -> DataFrame:
     """Confidence interval (2.5 and 97.5 %) of a mean by the Poisson bootstrap: each row
     counts k times in each replicate, k from a hash of row and replicate, so replicates

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import clean, features, metrics
+from ..functions import alignment, clean, features, metrics
 from ._base import query, table
 
 W = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
@@ -205,3 +205,24 @@ def conv_reverse_pairs(spark, d):
     p = pairs(spark, d).where(F.length("ref").between(3, 500) & F.length("pred").between(3, 500))
     both = p.select(F.lit("user-assistant").alias("direction"), F.col("ref").alias("src")).unionByName(p.select(F.lit("user-assistant_rev").alias("direction"), F.col("pred").alias("src")))
     return both.groupBy("direction").agg(F.count("*").alias("n"), F.sum(F.length("src")).cast("long").alias("chars"))
+
+
+@query()
+def conv_lcs_ratio(spark, d):
+    """MET03: character accuracy by the longest common subsequence."""
+    return pairs(spark, d).select("conv_id", "turn", alignment.lcs_ratio("ref", "pred").alias("accuracy"))
+
+
+@query()
+def conv_error_classes(spark, d):
+    """AG22: tallies of aligned characters, by a part of the conversations."""
+    e = pairs(spark, d).select("conv_id", alignment.edits("ref", "pred").alias("e")).select((F.col("conv_id") % 4).alias("part"), "e.*")
+    return e.groupBy("part").agg(*(F.sum(c).alias(c) for c in ("correct", "substituted", "deleted", "inserted")))
+
+
+@query(r"WITH " + PAIRS + r" SELECT conv_id, turn, CASE WHEN v IS NULL THEN 0.0 WHEN rel <= 0.1 THEN 1.0 ELSE greatest(0.0, least(1.0, exp(-5.0 * rel))) END AS numeric, least(k / 2, 1.0) AS keywords FROM (SELECT *, abs(v - length(ref)) / length(ref) AS rel, CAST(contains(lower(pred), 'the') AS INT) + CAST(contains(lower(pred), 'que') AS INT) + CAST(contains(lower(pred), 'der') AS INT) AS k FROM (SELECT *, CAST(regexp_extract_all(pred || ' ' || length(pred), '-?[0-9]+\.?[0-9]*')[-1] AS DOUBLE) AS v FROM p))")
+def conv_probe_scores(spark, d):
+    """MET14, MET15: a numeric answer (here the length, against the reference's) and keywords."""
+    answer = F.concat_ws(" ", "pred", F.length("pred").cast("string"))
+    words = F.array(*map(F.lit, ("the", "que", "der")))
+    return pairs(spark, d).select("conv_id", "turn", metrics.numeric_score(answer, F.length("ref")).alias("numeric"), metrics.keyword_score(F.col("pred"), words).alias("keywords"))
