@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _lcs(a: str, b: str) -> int:
@@ -19,13 +20,13 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lcs_ratio(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Length of the longest common subsequence over the longer text; 1 for two empty texts."""
     return pd.Series([_lcs(a, b) / max(len(a), len(b)) if a or b else 1.0 for a, b in zip(ref.fillna(""), hyp.fillna(""), strict=True)])
 
 
-@F.pandas_udf("correct long, substituted long, deleted long, inserted long")
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("correct", "substituted", "deleted", "inserted")]))
 def edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Counts of an optimal alignment of characters; of equal ones substitutions come first, then deletions."""
     import numpy as np
