@@ -32,10 +32,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _text
 from ._spark import append, column, partitions, saved
 
 BLOCK = 4096
@@ -173,13 +173,7 @@ def keep(zones: np.ndarray, shared: np.ndarray) -> np.ndarray:
 
 
 def _hashes(batch) -> list[list[int]]:
-    out = []
-    for source in column(batch, "html").to_pylist():
-        own = [t for t, _ in lines(source)]
-        flat, offsets, _ = _text.buffers(pa.array(own, pa.large_string()))
-        value, bounds = _text.words(flat, offsets, _text.NOT_SPACE)[2:]
-        out.append([_text.whole(value[a:b]) - (1 << 63) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-    return [out]
+    return [[[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in lines(source)] for source in column(batch, "html").to_pylist()]]
 
 
 def _place(batches):
