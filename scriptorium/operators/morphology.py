@@ -45,9 +45,3 @@ def compound(word: Column, roots: list[str]) -> Column:
 def noun_class(word: Column) -> Column:
     """A class hint by the word's ending."""
     return F.when(word.endswith("baga"), "agent").when(word.endswith("ya"), "abstract").when(word.endswith("nin"), "diminutive").when(word.endswith("ba"), "augmentative").when(word.endswith("lu"), "plural").otherwise("common")
-
-
-def structure(classes: Column) -> Column:
-    """A sentence label by the beginning of its class sequence; the first pattern in order wins."""
-    s = F.array_join(classes, "-")
-    return F.when(s.startswith("pronoun-particle-verb"), "subject-predicate").when(s.startswith("noun-particle-verb"), "noun-predicate").when(s.startswith("verb"), "imperative").otherwise("fragment")
