@@ -152,3 +152,107 @@ def doc_wikitext(spark, d):
     plain = F.trim(F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z .]", " "), "[ ]+", " "))
     wiki = F.concat(F.lit("{{box|{{inner}}}}== "), F.col("doc_id").cast("string"), F.lit(" ==\n'''"), plain, F.lit("'''<!-- end -->"))
     return docs(spark, d).select("doc_id", F.md5(clean.strip_wikitext(wiki)).alias("plain"))
+
+
+@query("SELECT n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey IS NOT NULL")
+def aligned_files(spark, d):
+    """SRC06: two files, line by line."""
+    base = folder(spark)
+    n = table(spark, d, "nation").orderBy("n_nationkey").coalesce(1)  # 25 rows
+    n.select(F.col("n_name").alias("value")).write.text(f"{base}/names")
+    n.select(F.col("n_regionkey").cast("string").alias("value")).write.text(f"{base}/regions")
+    out = readers.aligned(spark, {"name": f"{base}/names", "region": f"{base}/regions"})
+    return out.select("name", F.col("region").cast("int").alias("region"))
+
+
+@query("SELECT p_name AS nko, p_type AS en FROM part")
+def parallel_file(spark, d):
+    """SRC05, PRJ09: a reader by suffix, columns by what their names contain."""
+    path = f"{folder(spark)}/pairs.jsonl"
+    table(spark, d, "part").select(F.col("p_name").alias("nko_text"), F.col("p_type").alias("EN")).write.json(path)
+    return readers.parallel(spark, path)
+
+
+@query("SELECT 'json' AS suffix, 1::BIGINT AS files UNION ALL SELECT 'parquet', 1")
+def folder_listing(spark, d):
+    """SRC13: files of a folder by suffix, contents not read."""
+    base = folder(spark)
+    r = table(spark, d, "region").coalesce(1)
+    r.write.json(f"{base}/a")
+    r.write.parquet(f"{base}/b")
+    files = readers.listing(spark, base, "part-*")
+    return files.groupBy(F.regexp_extract("path", "\\.([a-z]+)$", 1).alias("suffix")).agg(F.count("*").alias("files"))
+
+
+@query(r"""SELECT conv_id, count(*) AS frames, count(*) FILTER (role = 'user') AS frames_with_text, CAST(sum(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 12))) AS BIGINT) AS detections FROM conversations GROUP BY conv_id""")
+def fan_out_tables(spark, d):
+    """SNK02, SNK05: one input as three tables, read back and counted."""
+    base = folder(spark)
+    long = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: F.length(x) > 12)
+    frames = table(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("has_text"), F.transform(long, lambda x: F.struct(x.alias("word"))).alias("detections"))
+    sinks.fan_out(frames, "conv_id", base)
+    found = spark.read.parquet(f"{base}/detections").groupBy("conv_id").agg(F.count("*").alias("detections"))
+    return spark.read.parquet(f"{base}/sources").join(found, "conv_id", "left").select("conv_id", "frames", "frames_with_text", F.coalesce("detections", F.lit(0)).alias("detections"))
+
+
+@query("SELECT conv_id, turn, coalesce(nullif(trim(text), ''), role) AS english, CASE WHEN role = 'user' THEN 'question' ELSE 'answer' END AS category FROM conversations")
+def nested_to_rows(spark, d):
+    """PRJ01, SNK09: a nested document of each conversation, flattened with fallbacks."""
+    item = F.struct("turn", F.trim("text").alias("english"), F.col("role").alias("fallback"))
+    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(item).alias("items"))
+    flat = nested.select("conv_id", F.explode("items").alias("i"))
+    text = F.coalesce(F.nullif(F.col("i.english"), F.lit("")), F.col("i.fallback"))
+    return flat.select("conv_id", "i.turn", text.alias("english"), F.when(F.col("i.fallback") == "user", "question").otherwise("answer").alias("category"))
+
+
+@query("SELECT c_custkey, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def struct_round_trip(spark, d):
+    """PRJ08, SNK07: records as JSON with either spelling of a key, and back."""
+    c = table(spark, d, "customer")
+    even = F.to_json(F.struct(F.col("c_acctbal").alias("accountBalance"), F.col("c_mktsegment").alias("marketSegment")))
+    odd = F.to_json(F.struct(F.col("c_acctbal").alias("account_balance"), F.col("c_mktsegment").alias("market_segment")))
+    packed = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, even).otherwise(odd).alias("j"))
+    j = packed.select("c_custkey", F.from_json("j", "accountBalance double, account_balance double, marketSegment string, market_segment string").alias("s"))
+    return j.select("c_custkey", F.coalesce("s.accountBalance", "s.account_balance").alias("balance"), F.coalesce("s.marketSegment", "s.market_segment").alias("segment"))
+
+
+@query("SELECT role, avg(CAST(length(trim(coalesce(text, ''))) > 0 AS INT)) AS rate, count(*) AS n FROM conversations GROUP BY role")
+def response_rate(spark, d):
+    """MET07."""
+    return table(spark, d, "conversations").groupBy("role").agg(F.avg((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).cast("int")).alias("rate"), F.count("*").alias("n"))
+
+
+@query(
+    """SELECT user_id, n >= 10 AND c >= 0.5 AND k >= 0.4 AND e >= 0.5 AS passed, CASE WHEN n < 10 THEN 'insufficient_coverage' WHEN c < 0.5 THEN 'inconsistent_direction' WHEN k < 0.4 THEN 'curvature_noise' WHEN e < 0.5 THEN 'low_context_entropy' END AS failure,
+  round(CASE WHEN n < 10 THEN n / 10 WHEN c < 0.5 THEN 0.5 * c / 0.5 WHEN k < 0.4 THEN 0.5 * k / 0.4 WHEN e < 0.5 THEN 0.5 * e / 0.5 ELSE least(1.0, 0.5 + 0.1 * (n / 10 - 1)) END, 9) AS score
+  FROM (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') * 2.0 / count(*) AS c, count(*) FILTER (event_type <> 'error') * 1.0 / count(*) AS k, count(DISTINCT event_type) / 5.0 AS e FROM events GROUP BY user_id)"""
+)
+def invariance_gates(spark, d):
+    """FEA08."""
+    from ..functions import features
+
+    n = F.count("*")
+    g = table(spark, d, "events").groupBy("user_id").agg(n.alias("n"), (F.count_if(F.col("event_type") == "view") * 2.0 / n).alias("c"), (F.count_if(F.col("event_type") != "error") * 1.0 / n).alias("k"), (F.count_distinct("event_type") / 5.0).alias("e"))
+    s = features.invariance(F.col("n"), F.col("c"), F.col("k"), F.col("e"))
+    return g.select("user_id", s.alias("s")).select("user_id", "s.passed", "s.failure", F.round("s.score", 9).alias("score"))
+
+
+@query()
+def synthetic_words(spark, d):
+    """SMP08: words drawn by hash, kept if the automaton admits them."""
+    from ..functions import fsm, script
+
+    letters = F.split(F.lit("ߓߕߞߟߡߣߛߊߌߎߍߏ"), "")
+    size = (F.pmod(F.xxhash64("id"), F.lit(5)) + 2).cast("int")
+    word = F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: F.element_at(letters, (F.pmod(F.xxhash64("id", i), F.lit(12)) + 1).cast("int"))), "")
+    rows = spark.range(table(spark, d, "region").count() * 40).select("id", word.alias("word"))
+    return rows.where(fsm.admissible(F.col("word")) & (fsm.validity_ratio(F.col("word")) == 1.0) & script.has_nko(F.col("word")))
+
+
+@query()
+def vec_beam_search(spark, d):
+    """DEC01, TK08, EXT06: vectors as eight frames of eight scores, decoded by beam search."""
+    alphabet = ["", "a", "b", "c", "d", "e", "f", "g"]
+    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: x.cast("double")))
+    v = table(spark, d, "embeddings").select("vec_id", frames.alias("f"))
+    return decode.beam_search(v, "f", alphabet).select("vec_id", "text", F.round("score", 6).alias("score"))

@@ -162,3 +162,19 @@ def native_bpe_metrics(spark, d):
     t = bpe.encode(native(spark, d), "t", merges)
     chars = F.length(F.regexp_replace("t", r"\s+", ""))
     return t.select("doc_id", chars.cast("long").alias("chars"), F.size("tokens").cast("long").alias("tokens"), (F.array_join("tokens", "") == F.regexp_replace("t", r"\s+", "")).alias("whole"))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN regexp_matches(f, {quoted(script.NKO)}) THEN 'nko' WHEN regexp_matches(f, {quoted(script.ARABIC)}) THEN 'arabic' ELSE 'latin' END AS first_script
+  FROM (SELECT doc_id, regexp_extract(t, {quoted(f"({script.NKO}|{script.ARABIC}|{script.LATIN})")}, 1) AS f FROM ({NATIVE}))"""
+)
+def doc_first_script(spark, d):
+    """STR03."""
+    return native(spark, d).select("doc_id", script.detect_first(F.col("t")).alias("first_script"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(ipa, '[^aeiouɔɛə]*[aeiouɔɛə]')) AS syllables FROM (SELECT doc_id, {IPA} AS ipa FROM documents) WHERE regexp_matches(ipa, '[aeiouɔɛə]')")
+def doc_ipa_syllables(spark, d):
+    """STR14."""
+    ipa = table(spark, d, "documents").select("doc_id", translit.latin_to_ipa(F.col("text")).alias("ipa")).where(F.col("ipa").rlike("[aeiouɔɛə]"))
+    return ipa.select("doc_id", F.size(translit.syllabify_ipa(F.col("ipa"))).cast("long").alias("syllables"))

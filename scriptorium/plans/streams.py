@@ -47,3 +47,14 @@ def stream_budget(spark, d):
     """STM06: admission under a budget as state."""
     rows = _stream(spark, d).select("user_id", "event_id", F.round(F.abs("value")).alias("cost"))
     return _result(spark, jobs.admit(rows, "user_id", "event_id", "cost", 500.0)).select("event_id", "user_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_drop_folder(spark, d):
+    """STM02: a folder of dropped files, some for each batch, removed when done."""
+    base = folder(spark)
+    e = table(spark, d, "events").select("event_id", "event_type")
+    e.repartition(4, "event_id").write.parquet(f"{base}/in")
+    stream = jobs.files(spark, f"{base}/in", e.schema, per_batch=2, clean=True)
+    jobs.to_table(stream, f"{base}/out", f"{base}/state")
+    return spark.read.schema(e.schema).parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
