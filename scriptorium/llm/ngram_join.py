@@ -22,7 +22,10 @@ size of the input. The least member of a signature's group is its pivot, so a gr
 of n gives n - 1 rows, never all pairs. Blocks of a pivot are joined whole if
 small; large ones are cut into chunks that all hold the pivot, components are
 found, and only members outside the block's largest component are compared with
-the other chunks. Node texts are fetched by a broadcast of ids only up to
+the other chunks. Before any text is fetched, members of small blocks go that have
+no possible partner there: a set's sketch has a parity bit for each of as many
+buckets as the set has n-grams, and the bits in which two sketches differ never
+outnumber the n-grams in which the sets differ. Node texts are fetched by a broadcast of ids only up to
 ``broadcast_ids`` of them, by a shuffle join beyond. Intermediate tables go to the
 shared folder.
 
@@ -135,6 +138,33 @@ def digests(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A parity bit for each bucket of n-grams; a power of two of buckets, at least the set's size."""
+    bits = 1 << max(6, int(len(s)).bit_length())
+    place = (_text.mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of ``size`` bytes: buckets that fall together are added by exclusive or."""
+    out = np.zeros((len(sketches), size), np.uint8)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, size), 0)
+    return out
+
+
+def partnered(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which sets may reach the threshold with another one, by sizes and sketches."""
+    out = np.zeros(len(sizes), bool)
+    rows = folded(sketches, min(len(s) for s in sketches))
+    for i in range(len(sizes)):
+        total = sizes + sizes[i]
+        near = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (np.bitwise_count(rows ^ rows[i]).sum(1) * (100 + percent) <= (100 - percent) * total)
+        near[i] = False
+        out[i] = near.any()
+    return out
+
+
 _OUT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("packed", pa.binary())])
 _OUT_DDL = "bucket int, kind tinyint, a long, b long, packed binary"
 
@@ -166,7 +196,7 @@ def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
             ids = column(batch, doc_id)
             known = np.asarray(ids.is_valid())
             ids_np = np.asarray(ids.fill_null(0)).astype(np.int64)
-            yield _rows(_spread(_text.mix(ids_np.view(np.uint64)), buckets), DOC, ids, pa.array([len(s) for s in sets], pa.int64()))
+            yield _rows(_spread(_text.mix(ids_np.view(np.uint64)), buckets), DOC, ids, pa.array([len(s) for s in sets], pa.int64()), [sketch(s) for s in sets])
             first: dict[bytes, int] = {}
             use, link_a, link_b = [], [], []
             digest = digests(sets)
@@ -211,7 +241,7 @@ def _meet(batches):
         kind = np.asarray(batch.column(1))
         plain = np.flatnonzero(kind < SIGNATURES)
         if len(plain):
-            yield batch.take(pa.array(plain)).select(["kind", "a", "b"])
+            yield batch.take(pa.array(plain)).select(["kind", "a", "b", "packed"])
         for i in np.flatnonzero(kind >= SIGNATURES).tolist():
             parts[kind[i]].append(_unplanes(batch.column(4)[i].as_py(), 2 if kind[i] == SIGNATURES else 3))
     for kind, out in ((SIGNATURES, CANDIDATE), (DIGESTS, LINK + 10)):
@@ -229,7 +259,7 @@ def _meet(batches):
             order = np.lexsort((owner, number))
             pivot, member = _groups(number[order], owner[order])
         pairs = np.unique(np.stack([pivot, member], 1), axis=0) if len(pivot) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), out, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), out, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["kind", "a", "b", "packed"])
 
 
 class Trie:
@@ -341,6 +371,30 @@ def _blocks(batches, n: int, percent: int):
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
 
 
+def _prune(batches, percent: int):
+    """Rows sorted by p: the members of each block that have a possible partner in it."""
+    key, rows = None, []
+
+    def done():
+        if len({r[0] for r in rows}) < 2:
+            return []
+        ok = partnered(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], percent)
+        return sorted({(key, r[0]) for r, y in zip(rows, ok.tolist(), strict=True) if y})
+
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["p", "node"])
+
+    for batch in batches:
+        out = []
+        for p, *row in zip(*(batch.column(c).to_pylist() for c in ("p", "node", "n_shingles", "sketch")), strict=True):
+            if p != key:
+                out += done() if rows else []
+                key, rows = p, []
+            rows.append(row)
+        yield table(out)
+    yield table(done() if rows else [])
+
+
 def _joined(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """blocks: p, chunk, node, label, target, query."""
     rows = blocks.join(texts, "node").repartition(4 * partitions(blocks), "p", "chunk").sortWithinPartitions("p", "chunk", "node")
@@ -348,12 +402,15 @@ def _joined(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bucket_chars: int = 1 << 22, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs, by its links."""
+    """(doc_id, n_shingles, component_id) for every row of docs, by its links. A percent
+    under 65 would allow more differences than small sets have n-grams, and is an error."""
+    if not 65 <= percent <= 100:
+        raise ValueError("percent must be from 65 to 100")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = min(1 << 30, max(4 * partitions(docs), int(chars) // bucket_chars))
     packed = docs.mapInArrow(lambda batches: _emit(batches, "doc_id", "text", n, percent, buckets), _OUT_DDL)
-    met = saved(packed.repartition(max(partitions(docs), buckets // 4), "bucket").mapInArrow(_meet, "kind tinyint, a long, b long"))
+    met = saved(packed.repartition(max(partitions(docs), buckets // 4), "bucket").mapInArrow(_meet, "kind tinyint, a long, b long, packed binary"))
 
     shingles = met.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     equal = met.where(F.col("kind").isin(LINK, LINK + 10)).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -363,19 +420,23 @@ def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
         pairs = pairs.join(whole, pairs[c] == whole["member"], "left").withColumn(c, F.coalesce("least", c)).drop("member", "least")
     pairs = saved(pairs.where("a <> b").distinct().select(F.col("a").alias("p"), F.col("b").alias("node")))
 
-    nodes = pairs.select("node").union(pairs.select("p")).distinct()
+    sizes = pairs.groupBy("p").agg(F.count("*").alias("n"))
+    members = pairs.join(sizes, "p")
+    small = members.where(F.col("n") <= SMALL_BLOCK).select("p", "node")
+    small = small.union(small.select("p", F.col("p").alias("node")).distinct())
+    sketches = met.where(F.col("kind") == DOC).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"), F.col("packed").alias("sketch"))
+    small = small.join(sketches, "node").repartition(partitions(docs), "p").sortWithinPartitions("p", "node")
+    small = small.mapInArrow(lambda batches: _prune(batches, percent), "p long, node long").withColumn("chunk", F.lit(0))
+    large = saved(members.where(F.col("n") > SMALL_BLOCK).withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")))
+    pivots = large.select("p", "chunk").distinct().withColumn("node", F.col("p"))
+    blocks = saved(small.select("p", "chunk", "node").union(large.select("p", "chunk", "node")).union(pivots.select("p", "chunk", "node")))
+
+    nodes = blocks.select("node").distinct()
     few = nodes.limit(broadcast_ids + 1).count() <= broadcast_ids
     texts = saved(docs.withColumnRenamed("doc_id", "node").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").distinct())
-
-    sizes = pairs.groupBy("p").agg(F.count("*").alias("n"))
-    members = pairs.join(sizes, "p").withColumn("chunk", F.when(F.col("n") <= SMALL_BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))).cast("int"))
-    members = saved(members)
-    pivots = members.select("p", "chunk").distinct().withColumn("node", F.col("p"))
-    blocks = members.select("p", "chunk", "node").union(pivots)
     label, yes = F.lit(None).cast("long").alias("label"), F.lit(True)
     links = saved(_joined(blocks.select("p", "chunk", "node", label, yes.alias("target"), yes.alias("query")), texts, n, percent).union(equal))
 
-    large = members.where(F.col("n") > SMALL_BLOCK)
     if large.limit(1).count():
         labels = saved(components(links))
         large = large.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("p", "chunk", "n", "node", "label")
