@@ -147,7 +147,7 @@ def sql(w: str) -> str:
 
     found = f"CASE WHEN {after} THEN {nt} WHEN {whole(nt)} THEN array_to_string({chain(nt)}, '+') ELSE '' END"
     return f"""CASE WHEN k = 'prefixed' THEN 'verb' ELSE k END AS word_class,
-  CASE k WHEN 'pronoun' THEN 0.95 WHEN 'particle' THEN 0.90 WHEN 'prefixed' THEN {confidence(prest, 0.05)} WHEN 'verb' THEN {confidence(vrest, 0)} WHEN 'noun' THEN CASE WHEN {after} THEN 0.85 WHEN {plural} THEN 0.90 ELSE 0.80 END WHEN 'postposition' THEN 0.85 ELSE 0.30 END AS confidence,
+  CASE k WHEN 'pronoun' THEN 0.95::DOUBLE WHEN 'particle' THEN 0.90 WHEN 'prefixed' THEN {confidence(prest, 0.05)} WHEN 'verb' THEN {confidence(vrest, 0)} WHEN 'noun' THEN CASE WHEN {after} THEN 0.85 WHEN {plural} THEN 0.90 ELSE 0.80 END WHEN 'postposition' THEN 0.85 ELSE 0.30 END AS confidence,
   CASE k WHEN 'prefixed' THEN {p} ELSE '' END AS prefix, CASE k WHEN 'prefixed' THEN {pr} WHEN 'verb' THEN {vr} WHEN 'noun' THEN {nr} WHEN 'unknown' THEN {w} ELSE '' END AS root,
   CASE k WHEN 'prefixed' THEN {suffixes(prest)} WHEN 'verb' THEN {suffixes(vrest)} WHEN 'noun' THEN concat_ws('+', CASE WHEN {plural} THEN '{PLURAL}' END, CASE WHEN {found} <> '' THEN {found} END) ELSE '' END AS suffixes,
   CASE k WHEN 'noun' THEN CASE WHEN {whole(nt)} AND NOT ({after}) AND len({hinted}) > 0 THEN {hinted}[-1] ELSE {classes}[{nr}] END END AS noun_class""", kind

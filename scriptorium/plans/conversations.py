@@ -101,7 +101,7 @@ def conv_metric_jaccard(spark, d):
     return pairs(spark, d).select("conv_id", "turn", metrics.word_jaccard(F.col("pred"), F.col("ref")).alias("jaccard"))
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, CASE WHEN contains(lower(pred), lower(ref)) THEN 1.0 WHEN len(list_filter({W.format('lower(ref)')}, lambda x: length(x) > 2 AND contains(lower(pred), x))) > 0 THEN 0.5 ELSE 0.0 END AS partial, lower(trim(pred)) = lower(trim(ref)) AS exact FROM p")
+@query(f"WITH {PAIRS} SELECT conv_id, turn, CASE WHEN contains(lower(pred), lower(ref)) THEN 1.0::DOUBLE WHEN len(list_filter({W.format('lower(ref)')}, lambda x: length(x) > 2 AND contains(lower(pred), x))) > 0 THEN 0.5 ELSE 0.0 END AS partial, lower(trim(pred)) = lower(trim(ref)) AS exact FROM p")
 def conv_partial_match(spark, d):
     """MET04, MET05."""
     return pairs(spark, d).select("conv_id", "turn", metrics.partial(F.col("pred"), F.col("ref")).alias("partial"), metrics.exact(F.col("pred"), F.col("ref")).alias("exact"))

@@ -48,7 +48,7 @@ def event_status_grouping_sets(spark, d):
     return spark.sql("SELECT event_type, origin, CAST(grouping(event_type) AS BIGINT) AS g, count(*) AS n FROM __queue GROUP BY GROUPING SETS ((event_type), (origin))")
 
 
-@query(f"""SELECT user_id, island, count(*) AS n, min(s) AS start, max(s) AS stop, round(min(value), 6) AS confidence FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id) AS island FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER w AND s - lag(s) OVER w < 86400 THEN 0 ELSE 1 END AS fresh FROM (SELECT event_id, user_id, event_type, value, {SECONDS} AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))) GROUP BY user_id, island""")
+@query(f"""SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(s) AS start, max(s) AS stop, round(min(value), 6) AS confidence FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id) AS island FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER w AND s - lag(s) OVER w < 86400 THEN 0 ELSE 1 END AS fresh FROM (SELECT event_id, user_id, event_type, value, {SECONDS} AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))) GROUP BY user_id, island""")
 def event_merge_turns(spark, d):
     """WN05, AG26: consecutive events of one type, not a day apart, of a user."""
     e = events(spark, d).select("event_id", "user_id", "event_type", "value", seconds().alias("s"))
