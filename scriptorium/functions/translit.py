@@ -83,10 +83,31 @@ def tokens(text: Column, keys) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(keys)), F.lit(1))
 
 
+def _class(chars) -> str:
+    return "".join(f"\\x{{{ord(c):04X}}}" for c in sorted(chars))
+
+
 def substitute(text: Column, d: dict) -> Column:
-    """Each token that is a key replaced by its value, greedily from the left."""
-    m = as_map(d)
-    return F.array_join(F.transform(tokens(text, d), lambda t: F.coalesce(F.try_element_at(m, t), t)), "")
+    """Each token that is a key replaced by its value, greedily from the left.
+
+    Keys and values of one character go through translate(), run by run. Only what begins a
+    longer key, or has a value of another length, is a token of its own, looked up in a
+    small map; without such keys the whole is one translate()."""
+    plain = {k: v for k, v in d.items() if len(k) == len(v) == 1 and k != v}
+    special = {k: v for k, v in d.items() if len(k) > 1 or len(v) != 1}
+    source, target = "".join(plain), "".join(plain.values())
+
+    def simple(t: Column) -> Column:
+        return F.translate(t, source, target) if plain else t
+
+    if not special:
+        return simple(text)
+    long = sorted((k for k in special if len(k) > 1), key=lambda k: (-len(k), k))
+    alone = _class({k[0] for k in special})
+    parts = [*(re.escape(k) for k in long), f"[{alone}]", f"[^{alone}]+"]
+    m = as_map(special)
+    found = F.regexp_extract_all(text, F.lit("(?s)(" + "|".join(parts) + ")"), F.lit(1))
+    return F.array_join(F.transform(found, lambda t: F.coalesce(F.try_element_at(m, t), simple(t))), "")
 
 
 def nfd(text: Column) -> Column:
