@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import clean, features, metrics, translit
+from ..functions import clean, features, translit
 from ..operators import dedup, sample
 from ._base import query, quoted, table
 
