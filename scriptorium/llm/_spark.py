@@ -50,6 +50,18 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def append(df: DataFrame, compute, fields: str) -> DataFrame:
     """df with more columns from ``compute(record_batch) -> list of arrays``, one
     batch at a time. Input columns of the same names (in any case) are replaced."""
@@ -68,6 +80,7 @@ def append(df: DataFrame, compute, fields: str) -> DataFrame:
         for batch in batches:
             arrays = compute(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *(a if isinstance(a, pa.Array) and a.type == t else pa.array(a, t) for a, t in zip(arrays, types, strict=True))], names=out_names)
+        tidy()
 
     return df.mapInArrow(run, StructType([*kept, *new.fields]))
 

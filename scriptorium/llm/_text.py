@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: A random odd 64-bit value for each byte.
 BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,7 +132,7 @@ def whole(value: np.ndarray) -> int:
     return int(mix(np.array([len(value) + 0x5851F42D], np.uint64))[0]) ^ (int(ngrams(value, len(value))[0]) if len(value) else 0)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
     """Slices of a batch with about ``limit`` bytes of text each, at least a row."""
     flat, offsets, _ = buffers(batch.column(column))
     at = 0

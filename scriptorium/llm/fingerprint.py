@@ -71,8 +71,8 @@ def groups(marked: DataFrame, docs: DataFrame, *, broadcast_rows: int = 300_000)
     return plain.join(exact, ["doc_id", "fingerprint"], "left").withColumn("group_id", F.coalesce("exact", "group_id")).drop("exact")
 
 
-def _ranges(docs: DataFrame, n: int) -> tuple[list[int], list[int | None]]:
-    """Lower bounds of up to n ranges of doc_id, and the greatest id of each, for descending order."""
+def _ranges(docs: DataFrame, n: int) -> list[int]:
+    """Cuts between up to n ranges of doc_id, in descending order."""
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
     return sorted(set(cuts or []), reverse=True)
 

@@ -112,6 +112,16 @@ class Encoder:
                 self.rows, self.table = {}, np.zeros((1024, DIMENSION), np.float32)
 
 
+_encoders: list[Encoder] = []
+
+
+def _kept() -> Encoder:
+    """The worker's encoder; what it has met outlives a task."""
+    if not _encoders:
+        _encoders.append(Encoder())
+    return _encoders[0]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
@@ -142,10 +152,10 @@ def fit(docs: DataFrame, *, fit_docs: int = 20_000) -> tuple[list[str], np.ndarr
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the cosine (0 if negative)."""
-    shared, made = docs.sparkSession.sparkContext.broadcast(model), {}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(batch):
-        encoder = made.get("encoder") or made.setdefault("encoder", Encoder())
+        encoder = _kept()
         langs, prototypes = shared.value
         vectors, some = encoder(column(batch, text).to_pylist())
         if not langs:

@@ -40,11 +40,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import column, partitions, saved
+from ._spark import column, partitions, saved, tidy
 from .components import components
 
 DOC, LINK, CANDIDATE, SIGNATURES, DIGESTS = range(5)
@@ -191,7 +191,7 @@ def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
     for whole_batch in batches:
-        for batch in _text.pieces(whole_batch, text, 1 << 23):
+        for batch in _text.pieces(whole_batch, text, 1 << 22):
             sets = sets_of(batch, text, n)
             ids = column(batch, doc_id)
             known = np.asarray(ids.is_valid())
@@ -224,6 +224,8 @@ def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
                 packed = [_planes(*(c[s:e] for c in columns)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 none = [None] * len(packed)
                 yield _rows(bucket[starts], kind, none, none, packed)
+            del sets, sig, owner, columns, packed
+    tidy()
 
 
 def _groups(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,6 +262,8 @@ def _meet(batches):
             pivot, member = _groups(number[order], owner[order])
         pairs = np.unique(np.stack([pivot, member], 1), axis=0) if len(pivot) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), out, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["kind", "a", "b", "packed"])
+        del columns, owner, order, pivot, member, pairs
+    tidy()
 
 
 class Trie:
@@ -369,6 +373,7 @@ def _blocks(batches, n: int, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
     links = done() if rows else []
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
+    tidy()
 
 
 def _prune(batches, percent: int):
@@ -393,6 +398,7 @@ def _prune(batches, percent: int):
             rows.append(row)
         yield table(out)
     yield table(done() if rows else [])
+    tidy()
 
 
 def _joined(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:

@@ -17,6 +17,7 @@ written as bytes, so decoding is exact for every text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -28,7 +29,7 @@ from ._spark import append, column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN = 10.0
-_REMEMBER, _LONG = 300_000, 64
+_REMEMBER, _LONG = 150_000, 64
 
 
 def vocabulary(path: str = MODEL, max_pieces: int = 1_000_000) -> dict:
@@ -45,7 +46,7 @@ def vocabulary(path: str = MODEL, max_pieces: int = 1_000_000) -> dict:
             byte[int(piece[3:5], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             plain.append((piece, i, sp.get_score(i)))
-    return {"pieces": plain, "bytes": byte, "size": sp.get_piece_size()}
+    return {"pieces": plain, "bytes": byte, "size": sp.get_piece_size(), "key": hashlib.sha256(repr((plain, byte)).encode()).hexdigest()}
 
 
 class Codec:
@@ -116,12 +117,24 @@ class Codec:
         return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(vocabulary: dict) -> Codec:
+    """The worker's codec of a vocabulary, the last one only; its memory of words outlives a task."""
+    key = vocabulary["key"]
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(vocabulary)
+    return _codecs[key]
+
+
 def encode(docs: DataFrame, vocabulary: dict, *, text: str = "text") -> DataFrame:
     """docs with token_ids array<int>, n_tokens, and decoded_ok: decoding gives the text again."""
-    shared, made = docs.sparkSession.sparkContext.broadcast(vocabulary), {}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def compute(batch):
-        codec = made.get("codec") or made.setdefault("codec", Codec(shared.value))
+        codec = _codec(shared.value)
         texts = [t or "" for t in column(batch, text).to_pylist()]
         packed = [codec.encode(t) for t in texts]
         ids = np.frombuffer(b"".join(packed), np.int32)
@@ -134,10 +147,10 @@ def encode(docs: DataFrame, vocabulary: dict, *, text: str = "text") -> DataFram
 
 def decode(docs: DataFrame, vocabulary: dict, *, ids: str = "token_ids") -> DataFrame:
     """docs with decoded, the text of their ids (null ids: null)."""
-    shared, made = docs.sparkSession.sparkContext.broadcast(vocabulary), {}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def compute(batch):
-        codec = made.get("codec") or made.setdefault("codec", Codec(shared.value))
+        codec = _codec(shared.value)
         return [[None if x is None else codec.decode(x) for x in column(batch, ids).to_pylist()]]
 
     return append(docs, compute, "decoded string")

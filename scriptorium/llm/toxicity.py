@@ -94,8 +94,8 @@ class Words:
         x[:, 0] = self.words(value)
         if len(value):
             for i, (n, lookup) in enumerate(zip(GRAMS, self.grams, strict=True)):
-                for a in range(0, len(value), 200_000):
-                    b = min(len(value), a + 200_000)
+                for a in range(0, len(value), 50_000):
+                    b = min(len(value), a + 50_000)
                     h, word = _gram_hashes(flat, begins[a:b], ends[a:b], n)
                     start = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
                     x[a:b, 1 + i] = np.maximum.reduceat(lookup(h), start)
