@@ -7,8 +7,8 @@ against ordered rules, each a licence and a pattern of identifiers. All rules th
 match are reported, in the order of the rules; a rule's identifiers are taken out
 before later, weaker rules are tried.
 
-Everything happens within a row: no shuffle, no broadcast, no Python worker. Texts
-without any of the MARKS are passed by. Null and empty texts have no sentences.
+Everything happens within a row: no shuffle, no broadcast, no Python worker. Every
+text is cut and looked up. Null and empty texts have no sentences.
 Repeated sentences are repeated identifiers. Input columns named as an output are
 replaced.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The gate of oracle() only, which passes by texts that scan() reads.
 MARKS = "(?i)licen[sc]|copyright|permission is hereby|permission to use|warrant|redistribut|spdx|public domain"
 
 #: Identifier and normalised sentence of known licence texts. Fixed values.
@@ -119,7 +120,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     table = F.create_map(*[F.lit(x) for name, sentence in {s: n for n, s in SENTENCES}.items() for x in (name, sentence)])
     known = F.filter(F.transform(cut, lambda s: F.try_element_at(table, normal(s))), lambda i: i.isNotNull())
-    ids = F.when(body.rlike(MARKS), F.concat_ws("", F.transform(known, lambda i: F.concat(i, F.lit(";"))))).otherwise(F.lit(""))
+    ids = F.coalesce(F.concat_ws("", F.transform(known, lambda i: F.concat(i, F.lit(";")))), F.lit(""))
     out = docs.withColumn("sentence_ids", ids)
     left, found = F.col("sentence_ids"), []
     for name, rule in RULES:

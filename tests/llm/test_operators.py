@@ -279,6 +279,12 @@ def test_licences(spark):
     assert licenses.report(documents(spark, [])).count() == 0
 
 
+def test_licence_sentences_without_a_mark_are_found(spark):
+    rows = [(1, "Words about trade\nAll rights reserved.\nMore words"), (2, "Released under CC0 1.0 Universal."), (3, "all rights to it are reserved"), (4, None)]
+    got = {x.doc_id: (x.n_sentences, x.licenses) for x in licenses.report(documents(spark, rows)).collect()}
+    assert got == {1: (1, "Proprietary"), 2: (1, "CC0-1.0"), 3: (0, ""), 4: (0, "")}
+
+
 # fingerprints
 
 
