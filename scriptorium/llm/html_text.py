@@ -10,8 +10,8 @@ Two things bound what differencing may delete. Lines inside the page's own conte
 container (article or main) stay though a neighbour repeats them, because pages
 may carry copies of one article or share passages. And menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles go by their markup
-also where the neighbour has other words there. A page with a container keeps only
-that container's lines. Where there is no container, a neighbour that shares
+also where the neighbour has other words there. On a page with a container,
+differencing decides about the plain lines outside it. Where there is no container, a neighbour that shares
 almost all lines is a copy, and nothing is deleted by comparison with it.
 
 The global order of URLs is made without one large window: range partitioning,
@@ -164,9 +164,9 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def keep(zones: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """Which lines are the article's, from their zones and what the neighbour shares."""
-    if (zones == 2).any():
-        return zones == 2
     plain = zones == 1
+    if (zones == 2).any():
+        return (zones == 2) | plain & ~shared
     if plain.any() and shared[plain].mean() > 0.8:
         return plain
     return plain & ~shared

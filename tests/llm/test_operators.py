@@ -446,6 +446,14 @@ def test_lines_and_zones():
     assert html_text.lines(None) == html_text.lines("") == [] and html_text.lines("<p") == [] and html_text.lines("plain") == [("plain", 1)]
 
 
+def test_text_beside_a_container_is_left_to_the_differencing(spark):
+    def page(i):
+        return (i, f"http://h.example/b/{i:03d}", f"<nav>Menu</nav><div>Welcome to our site</div><article><p>Teaser {i}.</p><p>A passage of many pages.</p></article><div><p>The story of page {i}.</p></div><div>All our pages</div>")
+
+    got = {x.page_id: x.text for x in html_text.extract(documents(spark, [page(i) for i in range(20)], 3, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Teaser {i}.\n\nA passage of many pages.\n\nThe story of page {i}." for i in range(20)}
+
+
 def test_common_is_a_longest_common_subsequence():
     r = random.Random(7)
 
