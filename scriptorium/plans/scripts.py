@@ -146,19 +146,19 @@ def codebook_stats(spark, d):
 
 @query()
 def native_bpe_merges(spark, d):
-    """TOK02, TK06, AG31: the first merges over the documents' words in the script."""
+    """TOK02, TK06, AG31: 256 merges over the documents' words in the script."""
     from ..operators import bpe
 
-    merges = bpe.train(bpe.word_frequencies(native(spark, d), "t"), merges=8)
+    merges = bpe.train(bpe.word_frequencies(native(spark, d), "t"))
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "step int, a string, b string")
 
 
 @query()
 def native_bpe_metrics(spark, d):
-    """TOK03, AG14: characters for each token, with the first merges applied."""
+    """TOK03, AG14: characters for each token, with 256 merges applied."""
     from ..operators import bpe
 
-    merges = bpe.train(bpe.word_frequencies(native(spark, d), "t"), merges=8)
+    merges = bpe.train(bpe.word_frequencies(native(spark, d), "t"))
     t = bpe.encode(native(spark, d), "t", merges)
     chars = F.length(F.regexp_replace("t", r"\s+", ""))
     return t.select("doc_id", chars.cast("long").alias("chars"), F.size("tokens").cast("long").alias("tokens"), (F.array_join("tokens", "") == F.regexp_replace("t", r"\s+", "")).alias("whole"))

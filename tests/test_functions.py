@@ -1,11 +1,13 @@
 """Literal cases of column functions and operators."""
 
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.catalogue import QUERIES
 from scriptorium.functions import alignment, clean, features, fsm, metrics, script, translit
 from scriptorium.operators import bpe, decode, dedup, intervals, lookup, morphology, stats
 from scriptorium.sources import readers, sinks
@@ -211,6 +213,20 @@ def test_merges(spark):
     assert bpe.encode(df, "t", merges[:1]).first().tokens == ["ab", "ab", "ab", "ab", "c", "d"]
 
 
+def test_merges_on_the_driver_equal_those_of_the_loop(spark):
+    df = spark.createDataFrame([("ababab ab cd aaaa aaa cdcd bab abab",), ("cdab aab aab bbb",)] * 3, "t string")
+    words = bpe.word_frequencies(df, "t", 1)
+    assert bpe.train(words, 12, 3) == bpe.train(words, 12, 3, few=0) != []
+
+
+def test_all_merges_are_learned(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    steps = [r.step for r in QUERIES["native_bpe_merges"](spark, data).collect()]
+    assert steps == list(range(256))
+
+
 def test_decoding(spark):
     assert one(spark, decode.collapse(F.array(*map(F.lit, [0, 1, 1, 0, 1, 2, 2])))) == [1, 1, 2]
     frames = [[math.log(p) for p in f] for f in ([0.1, 0.8, 0.1], [0.6, 0.3, 0.1], [0.1, 0.1, 0.8])]
