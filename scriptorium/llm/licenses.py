@@ -1,8 +1,10 @@
 """Licence scans by sentence rules, with SQL functions only.
 
-A text is cut into sentences, which are normalised (lower case, everything but
-letters, digits and inner full stops as one space; copyright lines as one form).
-Known sentences have identifiers; a text's identifiers, in order, are matched
+A text is cut at ends of sentences and lines, and its pieces are normalised (lower
+case, everything but letters, digits and inner full stops as one space; copyright
+lines as one form). A known sentence is found where it fills one or more whole pieces
+in a row, so it may be wrapped over lines and have any stops inside; of several the
+longest is taken. Known sentences have identifiers; a text's identifiers, in order, are matched
 against ordered rules, each a licence and a pattern of identifiers. All rules that
 match are reported, in the order of the rules; a rule's identifiers are taken out
 before later, weaker rules are tried.
@@ -15,6 +17,8 @@ replaced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,20 +110,35 @@ RULES = [
     ("Proprietary", "(?:COPYRIGHT;)?ALL-RIGHTS;"),
 ]
 _COPYRIGHT = "^copyright( c)? .*$"
+#: Patterns and what takes their place, in order: ends of sentences and lines, other characters, full stops outside numbers, spaces.
+_FOLD = [("[.!?:;]+[ \t\n\r\f]+|[\n\r]+", "\n"), ("[^a-z0-9.\n]+", " "), ("(?<![0-9])[.]+|[.]+(?![a-z0-9])", " "), (" *\n[ \n]*", "\n"), (" +", " ")]
+
+
+def _stream(text):
+    """Normalised words of a text, a line for each piece between ends of sentences or lines."""
+    text = F.lower(text)
+    for pattern, by in _FOLD:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def _key(sentence: str) -> str:
+    """A known sentence as _stream() has it, with all pieces on one line."""
+    for pattern, by in _FOLD:
+        sentence = re.sub(pattern, by, sentence)
+    return sentence.replace("\n", " ").strip()
 
 
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """docs with sentence_ids (identifiers, each ended by a semicolon) and licenses (comma-joined, distinct, in the order of RULES)."""
     docs = docs.drop("sentence_ids", "licenses", "n_sentences")
-    body = F.col(text)
-    cut = F.split(F.regexp_replace(body, "([.!?:;])[ \\t\\n\\r\\f]+", "$1\n"), "\n")
-
-    def normal(s):
-        folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.]+", " "), "(^|[^0-9])[.]+|[.]+( |$)", "$1 "))
-        return F.regexp_replace(F.regexp_replace(folded, " +", " "), _COPYRIGHT, "copyright notice")
-
-    table = F.create_map(*[F.lit(x) for name, sentence in {s: n for n, s in SENTENCES}.items() for x in (name, sentence)])
-    known = F.filter(F.transform(cut, lambda s: F.try_element_at(table, normal(s))), lambda i: i.isNotNull())
+    at = _stream(F.concat(F.lit("\n"), F.col(text), F.lit("\n")))
+    keys = {_key(s): n for n, s in SENTENCES}
+    longest = sorted(keys, key=lambda k: (-len(k), k))
+    pattern = "\n(" + "|".join(k.replace(" ", "[ \n]").replace(".", "[.]").replace("http[", "https?[") for k in longest) + "|copyright [^\n]*)(?=\n)"
+    table = F.create_map(*[F.lit(x) for k, n in keys.items() for x in (k, n)])
+    # a copyright line with any words is the copyright notice
+    known = F.transform(F.regexp_extract_all(at, F.lit(pattern), F.lit(1)), lambda s: F.coalesce(F.try_element_at(table, F.regexp_replace(F.translate(s, "\n", " "), "\\bhttps ", "http ")), F.lit("COPYRIGHT")))
     ids = F.coalesce(F.concat_ws("", F.transform(known, lambda i: F.concat(i, F.lit(";")))), F.lit(""))
     out = docs.withColumn("sentence_ids", ids)
     left, found = F.col("sentence_ids"), []

@@ -285,6 +285,47 @@ def test_licence_sentences_without_a_mark_are_found(spark):
     assert got == {1: (1, "Proprietary"), 2: (1, "CC0-1.0"), 3: (0, ""), 4: (0, "")}
 
 
+def test_wrapped_licence_headers(spark):
+    gpl = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{} either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+    bsd = """Copyright (c) 2001, A. B.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+    rows = [(1, "x\n" + gpl.format(":", ",", 3)), (2, gpl.format(";", ";", 2)), (3, mpl), (4, bsd), (5, apache), (6, "SPDX-License-Identifier: MIT"), (7, "not under the\nmit license here")]
+    got = {x.doc_id: (x.sentence_ids, x.licenses) for x in licenses.report(documents(spark, rows)).collect()}
+    tail = ";GPL-NO-WARRANTY;GPL-SEE;"
+    assert got == {
+        1: ("GPL-GRANT-3" + tail, "GPL-3.0-or-later"), 2: ("GPL-GRANT-2" + tail, "GPL-2.0-or-later"), 3: ("MPL2-REF;MPL2-COPY;", "MPL-2.0"), 4: ("COPYRIGHT;BSD-GRANT;BSD-SOURCE;BSD-BINARY;", "BSD-2-Clause"),
+        5: ("APACHE2-REF;APACHE2-COMPLY;APACHE2-COPY;", "Apache-2.0"), 6: ("MIT-REF;", "MIT"), 7: ("", ""),
+    }
+    alone = {x.doc_id: x.sentence_ids for x in licenses.report(documents(spark, [(i, s) for i, (_, s) in enumerate(licenses.SENTENCES)])).collect()}
+    assert alone == {i: f"{n};" for i, (n, _) in enumerate(licenses.SENTENCES)}
+
+
 # fingerprints
 
 
