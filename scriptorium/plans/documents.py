@@ -185,6 +185,17 @@ def doc_chunks(spark, d):
     return c.select("doc_id", F.col("pos").cast("long"), F.md5(chunk).alias("chunk"), F.length(chunk).cast("long").alias("n"))
 
 
+@query(
+    """WITH t AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) AS t FROM documents)
+  SELECT doc_id, CAST(0 AS BIGINT) AS pos, md5(t) AS chunk, length(t) AS n FROM t WHERE length(t) BETWEEN 80 AND 599"""
+)
+def doc_short_chunks(spark, d):
+    """PRJ06: texts too short for doc_chunks, each one chunk."""
+    t = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    short = docs(spark, d).select("doc_id", t.alias("t")).where(F.length("t").between(80, 599))
+    return short.select("doc_id", F.lit(0).cast("long").alias("pos"), F.md5("t").alias("chunk"), F.length("t").cast("long").alias("n"))
+
+
 @query("SELECT doc_id FROM documents WHERE substr(sha256(text), 1, 16) NOT IN (SELECT substr(sha256(text), 1, 16) FROM benchmark)")
 def doc_benchmark_exclusion(spark, d):
     """JN04, JN05, SET02: exclusion by the prefix of a content hash."""

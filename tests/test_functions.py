@@ -227,6 +227,13 @@ def test_all_merges_are_learned(spark):
     assert steps == list(range(256))
 
 
+def test_short_texts_are_one_chunk(spark, tmp_path):
+    texts = [(1, "a" * 79), (2, "b" * 80), (3, " c\n\n" + "d" * 597 + " "), (4, "e" * 600), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.pos, r.n) for r in QUERIES["doc_short_chunks"](spark, tmp_path).collect()) == [(2, 0, 80), (3, 0, 599)]
+    assert {r.doc_id for r in QUERIES["doc_chunks"](spark, tmp_path).collect()} == {4}
+
+
 def test_decoding(spark):
     assert one(spark, decode.collapse(F.array(*map(F.lit, [0, 1, 1, 0, 1, 2, 2])))) == [1, 1, 2]
     frames = [[math.log(p) for p in f] for f in ([0.1, 0.8, 0.1], [0.6, 0.3, 0.1], [0.1, 0.1, 0.8])]
