@@ -149,6 +149,19 @@ def doc_pair_counts(spark, d):
     return p.select(a.alias("a"), b.alias("b"), "n").orderBy(F.desc("n"), "a", "b").limit(100)
 
 
+@query(f"SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM (SELECT {W.replace('text', 'lower(text)')} AS w FROM documents)) GROUP BY w")
+def doc_all_word_frequencies(spark, d):
+    """AG20: the whole table."""
+    return docs(spark, d).select(F.explode(clean.words(F.lower("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT a, b, count(*) AS n FROM (SELECT unnest(list_zip(w[:-2], w[2:])) AS p, p[1] AS a, p[2] AS b FROM (SELECT {W.replace('text', 'lower(text)')} AS w FROM documents) WHERE len(w) > 1) GROUP BY a, b")
+def doc_all_pair_counts(spark, d):
+    """AG20: the whole table of adjacent pairs."""
+    p = docs(spark, d).select(F.explode(features.pairs(clean.words(F.lower("text")))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    return p.select(F.split("p", "\x01")[0].alias("a"), F.split("p", "\x01")[1].alias("b"), "n")
+
+
 @query(
     "SELECT w[1] AS ctx, w[2] AS next, count(*) AS n FROM (SELECT unnest(list_zip(c[:-2], c[2:])) AS w FROM (SELECT string_split(text, '') AS c FROM documents) WHERE len(c) > 1) GROUP BY ctx, next"
 )

@@ -103,6 +103,12 @@ def syllable_frequencies(spark, d):
     return native(spark, d).select(F.explode(fsm.syllables(F.col("t"))).alias("syllable")).groupBy("syllable").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "syllable").limit(200)
 
 
+@query(f"SELECT syllable, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, {quoted(f'({script.NKO_CONSONANT}*{script.NKO_VOWEL}{script.NKO_MARK}*)')}, 1)) AS syllable FROM ({NATIVE})) GROUP BY syllable")
+def all_syllable_frequencies(spark, d):
+    """TOK01, TOK04, WN08 on text: the whole table."""
+    return native(spark, d).select(F.explode(fsm.syllables(F.col("t"))).alias("syllable")).groupBy("syllable").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""SELECT doc_id, md5(regexp_replace(t, {quoted(script.NKO_TONE)}, '', 'g')) AS toneless, {n("t", script.NKO_TONE)} AS tones,
   md5(array_to_string(regexp_extract_all(t, {quoted(script.NKO_TONE)}), '')) AS pattern FROM ({NATIVE})"""

@@ -234,6 +234,13 @@ def test_short_texts_are_one_chunk(spark, tmp_path):
     assert {r.doc_id for r in QUERIES["doc_chunks"](spark, tmp_path).collect()} == {4}
 
 
+def test_frequency_tables_are_whole(spark, tmp_path):
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "bdfgklm"]
+    spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["doc_all_word_frequencies"](spark, tmp_path).count() == len(words) > 200
+    assert {(r.a, r.b, r.n) for r in QUERIES["doc_all_pair_counts"](spark, tmp_path).collect()} == {(a, b, 1) for a, b in zip(words, words[1:], strict=False)}
+
+
 def test_decoding(spark):
     assert one(spark, decode.collapse(F.array(*map(F.lit, [0, 1, 1, 0, 1, 2, 2])))) == [1, 1, 2]
     frames = [[math.log(p) for p in f] for f in ([0.1, 0.8, 0.1], [0.6, 0.3, 0.1], [0.1, 0.1, 0.8])]
