@@ -1,37 +1,49 @@
 """N-gram Jaccard self-join by prefix trees.
 
 Each document is its set of distinct word n-grams (64-bit hashes, whose numeric
-order is the global order). Sets that may reach the threshold are brought
-together losslessly, stored in a trie in that order, and joined by traversing the
-trie: members below a node share the overlap found so far, and a subtree goes
-when that overlap and the remaining lengths cannot reach what is needed.
+order is the order inside a trie). Sets that may reach the threshold are brought
+together losslessly, stored in a trie, and joined by traversing it: members below
+a node share the overlap found so far, and a subtree goes when that overlap and
+the remaining lengths cannot reach what is needed.
 
 Bringing sets together. Two sets that reach the threshold differ in at most k
-n-grams, k depending on their size. The hash space is cut into more than k parts,
-so at least one part holds the same n-grams in both (pigeonhole). A signature is
-the hash of the n-grams of one part; documents meet on equal signatures. Sizes
-fall in classes a threshold apart, and a set has signatures for its own class and
-the next smaller one. Parts that are empty do not count; a set with too few
-occupied parts is signed again with other cuts until it has enough, so no pair is
-lost. Long shared passages, frequent n-grams or hot sources do not bring
-documents together unless whole parts agree.
+n-grams, k depending on their size. The hash space is cut into clearly more than k
+parts, so all but k of a set's parts hold the same n-grams in both (pigeonhole). A
+signature is the hash of the n-grams of one part. Sizes fall in classes a threshold
+apart, and a set has signatures for its own class and the next smaller one. Parts
+that are empty do not count; a set with too few occupied parts is signed again with
+other cuts until it has enough, so no pair is lost.
+
+Prefixes by frequency. A first exchange counts how many sets have each signature.
+Only signatures of two sets or more go back to their owners, where a set keeps, in
+ascending order of that count, just as many as the pigeonhole needs: those of no
+other set come first and are free. A set with enough signatures of its own is out,
+and common passages, last in the order, bring together only sets made of little
+else. A second exchange groups the kept signatures.
 
 Scale. Equal sets become one class before anything is compared. Signatures travel
 packed, as a few binary rows for each batch, to buckets whose number follows the
-size of the input. The least member of a signature's group is its pivot, so a group
-of n gives n - 1 rows, never all pairs. Blocks of a pivot are joined whole if
-small; large ones are cut into chunks that all hold the pivot, components are
-found, and only members outside the block's largest component are compared with
-the other chunks. Before any text is fetched, members of small blocks go that have
-no possible partner there: a set's sketch has a parity bit for each of as many
+size of the input. The least member of a kept signature's group is its pivot, so a
+group of n gives n - 1 rows, never all pairs; a group whose members all have the
+same signature before it in their lists met there and gives none. Blocks of a pivot
+are joined whole if small; large ones are cut by size class and hash into chunks
+that all hold the pivot, components are found, and only members outside the block's
+largest component are compared with the chunks of near size classes, a chunk of
+them with a chunk at a time. Before any text is fetched, members of blocks go that
+have no possible partner there: a set's sketch has a parity bit for each of as many
 buckets as the set has n-grams, and the bits in which two sketches differ never
-outnumber the n-grams in which the sets differ. Node texts are fetched by a broadcast of ids only up to
-``broadcast_ids`` of them, by a shuffle join beyond. Intermediate tables go to the
-shared folder.
-
-Nulls and empty texts have an empty set and are linked with nothing. A null doc_id
-is linked with nothing. Rows of one doc_id are one node. Ties do not arise:
-components are named by their least doc_id.
+outnumber the n-grams in which the sets differ. Node texts are fetched by a
+broadcast of ids only up to ``broadcast_ids`` of them (8 bytes each, and a few times
+that as a hash table), by a shuffle join beyond. Intermediate tables go to the
+shared folder. What stays quadratic: a large block whose members are made of the
+same frequent parts and yet not linked, in rows of sketches, by a factor of CHUNK
+less than pairs.
+
+Nulls and empty texts have an empty set and are linked with nothing; an empty table
+gives an empty one. A null doc_id is linked with nothing. Rows of one doc_id are one
+node, whatever their texts. Ties do not arise: components are named by their least
+doc_id. Very long texts are one set in one task. Other columns are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -40,14 +52,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
 from ._spark import column, partitions, saved, tidy
 from .components import components
 
-DOC, LINK, CANDIDATE, SIGNATURES, DIGESTS = range(5)
+DOC, LINK, EQUAL, SHARED, FAMILIES, SIGNATURES, DIGESTS = range(7)
 SMALL_BLOCK = 400
 CHUNK = 256
 
@@ -83,18 +95,20 @@ def _cut(percent: int, label: int) -> tuple[int, int]:
     k = (100 - percent) * (top + 100 * top // percent) // (100 + percent)
     if k == 0:
         return 0, 1
-    parts = k + 2
+    least = parts = k + 2 + k // 4  # a fourth more than k need agree: counting tells passages from copies
     for _ in range(8):  # room for the parts expected to be empty
-        parts = k + 2 + int(1.5 * parts * np.exp(-float(low[label]) / parts))
+        parts = least + int(1.5 * parts * np.exp(-float(low[label]) / parts))
     return k, parts
 
 
-def signatures(sets: list[np.ndarray], percent: int, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, owner) of all sets, vectorised over the batch."""
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, family) of all sets, and the families as rows (set
+    number, family, spare). A family is one cut of a set, spare the number of its
+    signatures beyond those that the pigeonhole needs."""
     low = _class_bounds(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     label0 = np.searchsorted(low, sizes, "right") - 1
-    out_sig, out_owner = [], []
+    found, families = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], [np.zeros((0, 3), np.int64)]
     for shift in (0, 1):
         todo = np.flatnonzero((sizes > 0) & (label0 >= shift))
         seed = 0
@@ -116,16 +130,15 @@ def signatures(sets: list[np.ndarray], percent: int, owners: np.ndarray) -> tupl
             number = np.arange(total) - base[owner]
             with np.errstate(over="ignore"):
                 value = _text.mix(low_sum + high_sum * np.uint64(0x9E3779B97F4A7C15) + _text.mix((label[owner] * 1_000_003 + seed).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + number.astype(np.uint64)))
-            out_sig.append(value[full])
-            out_owner.append(owners[todo[owner[full]]])
+            family = 2 * seed + shift
+            found.append((value[full], todo[owner[full]], np.full(int(full.sum()), family)))
             occupied = np.bincount(owner[full], minlength=len(todo))
+            families.append(np.stack([todo, np.full(len(todo), family), occupied - cut[:, 0] - 1], 1))
             todo = todo[occupied <= cut[:, 0]]
             seed += 1
             if seed > 64:
                 raise RuntimeError("a set could not be cut into enough parts")
-    if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_owner)
+    return *(np.concatenate(c) for c in zip(*found, strict=True)), np.concatenate(families)
 
 
 def digests(sets: list[np.ndarray]) -> np.ndarray:
@@ -153,15 +166,19 @@ def folded(sketches: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def partnered(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
-    """Which sets may reach the threshold with another one, by sizes and sketches."""
+def partnered(sizes: np.ndarray, sketches: list[bytes], percent: int, target: np.ndarray | None = None, query: np.ndarray | None = None) -> np.ndarray:
+    """Which targets and queries may reach the threshold with another one, by sizes and sketches."""
+    every = np.ones(len(sizes), bool)
+    target, query = every if target is None else target, every if query is None else query
     out = np.zeros(len(sizes), bool)
     rows = folded(sketches, min(len(s) for s in sketches))
-    for i in range(len(sizes)):
+    for i in np.flatnonzero(query).tolist():
         total = sizes + sizes[i]
-        near = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (np.bitwise_count(rows ^ rows[i]).sum(1) * (100 + percent) <= (100 - percent) * total)
+        near = target & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (np.bitwise_count(rows ^ rows[i]).sum(1) * (100 + percent) <= (100 - percent) * total)
         near[i] = False
-        out[i] = near.any()
+        if near.any():
+            out |= near
+            out[i] = True
     return out
 
 
@@ -185,10 +202,30 @@ def _unplanes(packed: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(raw[c].T).view(np.uint64).reshape(-1) for c in range(columns)]
 
 
+#: Number of packed columns of each kind.
+_WIDTH = {SHARED: 4, FAMILIES: 4, SIGNATURES: 3, DIGESTS: 3}
+
+
 def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document."""
+    return _spread(_text.mix(ids.view(np.uint64)), buckets)
+
+
+def _dealt(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns of 64-bit words as one packed row for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order].view(np.uint64) for c in columns]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(bucket))
+    packed = [_planes(*(c[s:e] for c in columns)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    none = [None] * len(packed)
+    return _rows(bucket[starts], kind, none, none, packed)
+
+
 def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
     for whole_batch in batches:
         for batch in _text.pieces(whole_batch, text, 1 << 22):
@@ -196,7 +233,7 @@ def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
             ids = column(batch, doc_id)
             known = np.asarray(ids.is_valid())
             ids_np = np.asarray(ids.fill_null(0)).astype(np.int64)
-            yield _rows(_spread(_text.mix(ids_np.view(np.uint64)), buckets), DOC, ids, pa.array([len(s) for s in sets], pa.int64()), [sketch(s) for s in sets])
+            yield _rows(_home(ids_np, buckets), DOC, ids, pa.array([len(s) for s in sets], pa.int64()), [sketch(s) for s in sets])
             first: dict[bytes, int] = {}
             use, link_a, link_b = [], [], []
             digest = digests(sets)
@@ -209,60 +246,126 @@ def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
                         link_a.append(ids_np[j])
                         link_b.append(ids_np[i])
             if link_a:
-                yield _rows(np.zeros(len(link_a)), LINK, link_a, link_b)
+                yield _rows(_home(np.array(link_b), buckets), LINK, link_a, link_b)
             if not use:
                 continue
             use = np.array(use)
-            sig, owner = signatures([sets[i] for i in use], percent, ids_np[use])
-            for kind, columns in ((SIGNATURES, (sig, owner.view(np.uint64))), (DIGESTS, (digest[use, 0], digest[use, 1], ids_np[use].view(np.uint64)))):
-                bucket = _spread(columns[0], buckets)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                columns = [c[order] for c in columns]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
-                packed = [_planes(*(c[s:e] for c in columns)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                none = [None] * len(packed)
-                yield _rows(bucket[starts], kind, none, none, packed)
-            del sets, sig, owner, columns, packed
+            owners = ids_np[use]
+            sig, number, family, families = signatures([sets[i] for i in use], percent)
+            yield _dealt(SIGNATURES, _spread(sig, buckets), sig, owners[number], family)
+            yield _dealt(DIGESTS, _spread(digest[use, 0], buckets), digest[use, 0], digest[use, 1], owners)
+            own = owners[families[:, 0]]
+            yield _dealt(FAMILIES, _home(own, buckets), own, np.ascontiguousarray(families[:, 1]), np.ascontiguousarray(families[:, 2]), digest[use, 0][families[:, 0]])
+            del sets, sig, number, family, families
     tidy()
 
 
-def _groups(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pivot, member) of every group of equal keys with more than one owner; keys sorted, owners ascending within."""
-    start = np.concatenate([[True], keys[1:] != keys[:-1]])
-    pivot = owner[np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))]
-    differ = pivot != owner
-    return pivot[differ], owner[differ]
+def _gather(batches, kinds: tuple[int, ...], rest):
+    """All packed columns of these kinds; rows of others go to rest(batch) one batch at a time."""
+    parts = {k: [] for k in kinds}
+    for batch in batches:
+        kind = np.asarray(batch.column("kind"))
+        packed = np.isin(kind, kinds)
+        if not packed.all():
+            yield from rest(batch.take(pa.array(np.flatnonzero(~packed))))
+        for i in np.flatnonzero(packed).tolist():
+            parts[kind[i]].append(_unplanes(batch.column("packed")[i].as_py(), _WIDTH[kind[i]]))
+    return {k: [np.concatenate(c) for c in zip(*p, strict=True)] if p else [np.zeros(0, np.uint64)] * _WIDTH[k] for k, p in parts.items()}
+
+
+def _numbers(*columns: np.ndarray) -> np.ndarray:
+    """A number for each different row of the columns, ascending in their order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= np.diff(c[order].view(np.int64)) != 0
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def _meet(batches):
-    """Where whole buckets are together: groups of equal signatures and digests."""
-    parts = {SIGNATURES: [], DIGESTS: []}
-    for batch in batches:
-        kind = np.asarray(batch.column(1))
-        plain = np.flatnonzero(kind < SIGNATURES)
-        if len(plain):
-            yield batch.take(pa.array(plain)).select(["kind", "a", "b", "packed"])
-        for i in np.flatnonzero(kind >= SIGNATURES).tolist():
-            parts[kind[i]].append(_unplanes(batch.column(4)[i].as_py(), 2 if kind[i] == SIGNATURES else 3))
-    for kind, out in ((SIGNATURES, CANDIDATE), (DIGESTS, LINK + 10)):
-        if not parts[kind]:
-            continue
-        columns = [np.concatenate(c) for c in zip(*parts[kind], strict=True)]
-        parts[kind] = []
-        owner = columns[-1].view(np.int64)
-        order = np.lexsort((owner, *columns[:-1][::-1]))
-        if kind == SIGNATURES:
-            pivot, member = _groups(columns[0][order], owner[order])
-        else:
-            _, number = np.unique(np.stack(columns[:2], 1), axis=0, return_inverse=True)
-            number = number.reshape(-1)
-            order = np.lexsort((owner, number))
-            pivot, member = _groups(number[order], owner[order])
-        pairs = np.unique(np.stack([pivot, member], 1), axis=0) if len(pivot) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), out, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["kind", "a", "b", "packed"])
-        del columns, owner, order, pivot, member, pairs
+def _meet(batches, buckets: int):
+    """Where whole buckets are together: signatures of two sets or more with their
+    counts, to their owners, and the least owner of each digest."""
+    parts = yield from _gather(batches, (SIGNATURES, DIGESTS), lambda plain: [plain])
+    sig, owner, family = parts[SIGNATURES]
+    owner = owner.view(np.int64)
+    order = np.lexsort((owner, sig))
+    sig, owner, family = sig[order], owner[order], family[order]
+    if len(sig):
+        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        other = start | np.concatenate([[True], owner[1:] != owner[:-1]])
+        group = np.cumsum(start) - 1
+        count = np.bincount(group[other])[group]
+        two = count > 1
+        if two.any():
+            yield _dealt(SHARED, _home(owner[two], buckets), owner[two], family[two], sig[two], count[two])
+    del sig, owner, family, order
+    high, low, owner = parts[DIGESTS]
+    if len(owner):
+        number, owner = _numbers(high, low), owner.view(np.int64)
+        order = np.lexsort((owner, number))
+        number, owner = number[order], owner[order]
+        start = np.concatenate([[True], number[1:] != number[:-1]])
+        least = owner[np.maximum.accumulate(np.where(start, np.arange(len(owner)), 0))]
+        copy = np.unique(np.stack([least, owner], 1)[least != owner], axis=0)
+        if len(copy):
+            yield _rows(_home(np.ascontiguousarray(copy[:, 1]), buckets), EQUAL, copy[:, 0], copy[:, 1])
+    tidy()
+
+
+def _prefix(batches, buckets: int):
+    """Where all of an owner is together: the kept signatures of each family, in
+    ascending order of count, each with the one before it in that list."""
+    copies = [np.zeros(0, np.int64)]
+
+    def rest(batch):
+        copies.append(np.asarray(batch.column("b")))
+        return ()
+
+    parts = yield from _gather(batches, (SHARED, FAMILIES), rest)
+    owner, family, sig, count = parts[SHARED]
+    of, kind, spare, tag = parts[FAMILIES]
+    m = len(owner)
+    if m:
+        sets = np.unique(np.stack([of, tag], 1), axis=0)[:, 0]
+        several = sets[1:][sets[1:] == sets[:-1]]  # owners of different texts keep all
+        single = ~np.isin(owner, several)
+        here = ~(single & np.isin(owner, np.concatenate(copies).view(np.uint64)))
+        number = _numbers(np.concatenate([owner, of]), np.concatenate([family, kind]))
+        spares = np.zeros(int(number.max()) + 1, np.int64)
+        spares[number[m:]] = spare.view(np.int64)
+        number = number[:m]
+        order = np.lexsort((sig, count, number))
+        order = order[np.concatenate([[True], (np.diff(number[order]) != 0) | (sig[order][1:] != sig[order][:-1])])]  # rows repeated in other batches
+        number, sig, owner, single, here = number[order], sig[order], owner[order], single[order], here[order]
+        start = np.concatenate([[True], number[1:] != number[:-1]])
+        place = np.arange(len(number)) - np.maximum.accumulate(np.where(start, np.arange(len(number)), 0))
+        total = np.bincount(number)[number]
+        keep = here & (~single | (place < total - spares[number]))
+        before = np.where(start | ~single, np.uint64(0), np.concatenate([[np.uint64(0)], sig[:-1]]))
+        if keep.any():
+            yield _dealt(SIGNATURES, _spread(sig[keep], buckets), sig[keep], owner[keep], before[keep])
+    tidy()
+
+
+def _pair(batches):
+    """(p, node): the least owner of each kept signature with each other one, unless
+    all of them met at the signature before it."""
+    parts = yield from _gather(batches, (SIGNATURES,), lambda plain: ())
+    sig, owner, before = parts[SIGNATURES]
+    owner = owner.view(np.int64)
+    order = np.lexsort((before, owner, sig))
+    sig, owner, before = sig[order], owner[order], before[order]
+    pairs = np.zeros((0, 2), np.int64)
+    if len(sig):
+        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        group = np.cumsum(start) - 1
+        first = np.flatnonzero(start)[group]
+        new = (before == 0) | (before != before[first])
+        differ = (owner != owner[first]) & (np.bincount(group, new)[group] > 0)
+        pairs = np.unique(np.stack([owner[first], owner], 1)[differ], axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "node"])
     tidy()
 
 
@@ -348,7 +451,7 @@ def link_block(targets: list[tuple[int, np.ndarray]], queries: list[tuple[int, n
 
 
 def _blocks(batches, n: int, percent: int):
-    """Rows sorted by (p, chunk): members of one block follow each other."""
+    """Rows sorted by (p, chunk, other): members of one block follow each other."""
     key, rows = None, []
 
     def done():
@@ -364,11 +467,11 @@ def _blocks(batches, n: int, percent: int):
         for batch in _text.pieces(whole_batch, "text"):
             sets = sets_of(batch, "text", n)
             links = []
-            for i, (p, chunk, node, label, target, query) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p", "chunk", "node", "label", "target", "query")), strict=True)):
-                if (p, chunk) != key:
+            for i, (p, chunk, other, node, label, target, query) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p", "chunk", "other", "node", "label", "target", "query")), strict=True)):
+                if (p, chunk, other) != key:
                     if rows:
                         links += done()
-                    key, rows = (p, chunk), []
+                    key, rows = (p, chunk, other), []
                 rows.append((node, sets[i], label, target, query))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
     links = done() if rows else []
@@ -376,38 +479,48 @@ def _blocks(batches, n: int, percent: int):
     tidy()
 
 
+_BLOCK = ("p", "chunk", "other", "node", "label", "target", "query")
+_BLOCK_DDL = "p long, chunk int, other int, node long, label long, target boolean, query boolean"
+
+
 def _prune(batches, percent: int):
-    """Rows sorted by p: the members of each block that have a possible partner in it."""
+    """Rows sorted by block: the members of each block that have a possible partner in it."""
     key, rows = None, []
 
     def done():
-        if len({r[0] for r in rows}) < 2:
+        if len({r[3] for r in rows}) < 2:
             return []
-        ok = partnered(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], percent)
-        return sorted({(key, r[0]) for r, y in zip(rows, ok.tolist(), strict=True) if y})
+        ok = partnered(np.array([r[7] for r in rows], np.int64), [r[8] for r in rows], percent, np.array([r[5] for r in rows]), np.array([r[6] for r in rows]))
+        return list(dict.fromkeys(r[:7] for r, y in zip(rows, ok.tolist(), strict=True) if y))
 
     def table(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["p", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=list(_BLOCK))
 
     for batch in batches:
         out = []
-        for p, *row in zip(*(batch.column(c).to_pylist() for c in ("p", "node", "n_shingles", "sketch")), strict=True):
-            if p != key:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*_BLOCK, "n_shingles", "sketch")), strict=True):
+            if row[:3] != key:
                 out += done() if rows else []
-                key, rows = p, []
+                key, rows = row[:3], []
             rows.append(row)
         yield table(out)
     yield table(done() if rows else [])
     tidy()
 
 
-def _joined(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """blocks: p, chunk, node, label, target, query."""
-    rows = blocks.join(texts, "node").repartition(4 * partitions(blocks), "p", "chunk").sortWithinPartitions("p", "chunk", "node")
+def _joined(blocks: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """Links (u, v) inside blocks (columns _BLOCK): members by sketches, then the tries of their texts."""
+    by = ("p", "chunk", "other")
+    rows = blocks.join(sketches, "node").repartition(partitions(docs), *by).sortWithinPartitions(*by, "node")
+    blocks = saved(rows.select(*_BLOCK, "n_shingles", "sketch").mapInArrow(lambda batches: _prune(batches, percent), _BLOCK_DDL))
+    nodes = blocks.select("node").distinct()
+    few = nodes.limit(broadcast_ids + 1).count() <= broadcast_ids
+    texts = docs.withColumnRenamed("doc_id", "node").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").distinct()
+    rows = blocks.join(texts, "node").repartition(4 * partitions(docs), *by).sortWithinPartitions(*by, "node")
     return rows.mapInArrow(lambda batches: _blocks(batches, n, percent), "u long, v long")
 
 
-def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bucket_chars: int = 1 << 22, broadcast_ids: int = 1_000_000) -> DataFrame:
+def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bucket_chars: int = 1 << 22, broadcast_ids: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs, by its links. A percent
     under 65 would allow more differences than small sets have n-grams, and is an error."""
     if not 65 <= percent <= 100:
@@ -415,43 +528,53 @@ def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = min(1 << 30, max(4 * partitions(docs), int(chars) // bucket_chars))
+    dealt = max(partitions(docs), buckets // 4)
     packed = docs.mapInArrow(lambda batches: _emit(batches, "doc_id", "text", n, percent, buckets), _OUT_DDL)
-    met = saved(packed.repartition(max(partitions(docs), buckets // 4), "bucket").mapInArrow(_meet, "kind tinyint, a long, b long, packed binary"))
+    met = saved(packed.repartition(dealt, "bucket").mapInArrow(lambda batches: _meet(batches, buckets), _OUT_DDL))
 
     shingles = met.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    equal = met.where(F.col("kind").isin(LINK, LINK + 10)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    whole = met.where(F.col("kind") == LINK + 10).groupBy(F.col("b").alias("member")).agg(F.min("a").alias("least"))
-    pairs = met.where(F.col("kind") == CANDIDATE).select("a", "b").distinct()
-    for c in ("a", "b"):
-        pairs = pairs.join(whole, pairs[c] == whole["member"], "left").withColumn(c, F.coalesce("least", c)).drop("member", "least")
-    pairs = saved(pairs.where("a <> b").distinct().select(F.col("a").alias("p"), F.col("b").alias("node")))
-
-    sizes = pairs.groupBy("p").agg(F.count("*").alias("n"))
-    members = pairs.join(sizes, "p")
-    small = members.where(F.col("n") <= SMALL_BLOCK).select("p", "node")
-    small = small.union(small.select("p", F.col("p").alias("node")).distinct())
+    equal = met.where(F.col("kind").isin(LINK, EQUAL)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     sketches = met.where(F.col("kind") == DOC).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"), F.col("packed").alias("sketch"))
-    small = small.join(sketches, "node").repartition(partitions(docs), "p").sortWithinPartitions("p", "node")
-    small = small.mapInArrow(lambda batches: _prune(batches, percent), "p long, node long").withColumn("chunk", F.lit(0))
-    large = saved(members.where(F.col("n") > SMALL_BLOCK).withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")))
-    pivots = large.select("p", "chunk").distinct().withColumn("node", F.col("p"))
-    blocks = saved(small.select("p", "chunk", "node").union(large.select("p", "chunk", "node")).union(pivots.select("p", "chunk", "node")))
-
-    nodes = blocks.select("node").distinct()
-    few = nodes.limit(broadcast_ids + 1).count() <= broadcast_ids
-    texts = saved(docs.withColumnRenamed("doc_id", "node").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").distinct())
-    label, yes = F.lit(None).cast("long").alias("label"), F.lit(True)
-    links = saved(_joined(blocks.select("p", "chunk", "node", label, yes.alias("target"), yes.alias("query")), texts, n, percent).union(equal))
-
-    if large.limit(1).count():
-        labels = saved(components(links))
-        large = large.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("p", "chunk", "n", "node", "label")
-        most = large.groupBy("p", "label").agg(F.count("*").alias("c")).groupBy("p").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        large = large.join(most, "p")
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        asking = large.where("label <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        both = large.select("p", "chunk", "node", "label", yes.alias("target"), F.lit(False).alias("query")).union(asking.select("p", "chunk", "node", "label", F.lit(False), yes))
-        more = _joined(both, texts, n, percent)
-        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-    found = components(links).withColumnRenamed("node", "doc_id")
+    kept = met.where(F.col("kind").isin(SHARED, FAMILIES, EQUAL)).repartition(dealt, "bucket").mapInArrow(lambda batches: _prefix(batches, buckets), _OUT_DDL)
+    pairs = saved(kept.repartition(dealt, "bucket").mapInArrow(_pair, "p long, node long").distinct())
+
+    sizes = saved(pairs.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BLOCK))
+    large = bool(sizes.limit(1).count())
+    few = sizes.limit(broadcast_ids + 1).count() <= broadcast_ids
+    sizes = F.broadcast(sizes) if few else sizes
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    label = F.lit(None).cast("long").alias("label")
+    small = pairs.join(sizes, "p", "left_anti").select("p", "node") if large else pairs
+    small = small.union(small.select("p", F.col("p").alias("node")).distinct())
+    blocks = small.select("p", zero.alias("chunk"), zero.alias("other"), "node", label, yes.alias("target"), yes.alias("query"))
+    if not large:
+        return _named(shingles, components(_joined(blocks, sketches, docs, n, percent, broadcast_ids).union(equal)))
+
+    # Members of linked sets are at most a size class apart.
+    size_class = F.floor(F.log("n_shingles") / F.log(F.lit(max(100 / percent, 1.001) * 1.0001))).cast("int")
+    members = pairs.join(sizes, "p").select("p", "node").join(sketches.select("node", "n_shingles").distinct(), "node").select("p", "node", size_class.alias("class")).distinct()
+    counts = members.groupBy("p", "class").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    counts = counts.withColumn("base", F.sum("chunks").over(Window.partitionBy("p").orderBy("class")) - F.col("chunks"))
+    members = saved(members.join(counts, ["p", "class"]).select("p", "node", "class", (F.col("base") + F.pmod(F.xxhash64("node"), F.col("chunks"))).cast("int").alias("chunk")))
+    pivots = members.select("p", "chunk").distinct().withColumn("node", F.col("p"))
+    whole = members.select("p", "chunk", "node").union(pivots.select("p", "chunk", "node"))
+    blocks = blocks.union(whole.select("p", "chunk", F.lit(-1), "node", label, yes, yes))
+    links = saved(_joined(blocks, sketches, docs, n, percent, broadcast_ids).union(equal))
+
+    labels = saved(components(links))
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    most = members.groupBy("p", "label").agg(F.count("*").alias("c")).groupBy("p").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    members = saved(members.join(most, "p"))
+    asking = members.where("label <> main")
+    to = members.groupBy("p", "class", "chunk").agg(F.lit(1).alias("one")).select("p", "class", "chunk")
+    of = asking.groupBy("p", "class", "chunk").agg(F.lit(1).alias("one")).select("p", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("class"), F.col("chunk").alias("other"))
+    met_chunks = to.join(of, ["p", "class"]).select("p", "chunk", "other")
+    both = members.join(met_chunks, ["p", "chunk"]).select("p", "chunk", "other", "node", "label", yes, no)
+    both = both.union(asking.withColumnRenamed("chunk", "other").join(met_chunks, ["p", "other"]).select("p", "chunk", "other", "node", "label", no, yes)).toDF(*_BLOCK)
+    more = _joined(both, sketches, docs, n, percent, broadcast_ids)
+    return _named(shingles, components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
+
+
+def _named(shingles: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.withColumnRenamed("node", "doc_id")
     return shingles.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
