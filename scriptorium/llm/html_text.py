@@ -4,31 +4,35 @@ Every page is cut into text lines (one for each block of markup). The pages of a
 host are put in the order of their URL paths; each page is compared with the
 neighbour, before or after it, whose path has the longest common beginning. Their
 lines are aligned by a longest common subsequence, and lines that both have in
-common are boilerplate and go.
+common are boilerplate and go. A neighbour that has all of a page's plain lines is
+a copy and tells nothing; the other one takes its place.
 
-Two things bound what differencing may delete. Lines inside the page's own content
-container (article or main) stay though a neighbour repeats them, because pages
-may carry copies of one article or share passages. And menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles go by their markup
-also where the neighbour has other words there. On a page with a container,
-differencing decides about the plain lines outside it. Where there is no container, a neighbour that shares
-almost all lines is a copy, and nothing is deleted by comparison with it.
+Markup is the second evidence. Inside the page's own content container (article or
+main) pages may carry copies of one article or share passages, so there a line goes
+only if the neighbours on both sides have it in common with the page, and only if
+such lines are fewer than half of the container's: templates repeat on every page, a
+copied article is more than half repeated. Menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts and styles go by their markup also where
+no neighbour has the same words there.
 
 The global order of URLs is made without one large window: range partitioning,
-positions within partitions, and offsets of partitions (a number for each, on the
-driver); neighbours meet in blocks of BLOCK positions whose edge rows are given to both
-blocks. Only line hashes travel for that; whole pages are shuffled once, to meet
-their decisions.
-
-Null or empty html gives empty text. A page without a host is compared with none.
-Repeated rows are one page for comparison and each give a row. The order of
-pages with equal URLs is by page_id and content, so ties are fixed.
+positions within partitions, and offsets of partitions (a number for each, a table
+of as many rows); neighbours meet in blocks of BLOCK positions whose edge rows are
+given to both blocks. Only line hashes travel for that; whole pages are shuffled
+once, to meet their decisions by a 128-bit key.
+
+Null or empty html gives empty text, an empty table an empty one. A page without a
+host is compared with none. Repeated rows are one page for comparison and each give
+a row. The order of pages with equal URLs is by page_id and content, so ties are
+fixed. Very long pages take memory in proportion to their lines. Other columns are
+not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +48,32 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose content is not text of a page. Fixed values.
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas select button".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes xmp svg object canvas select button".split())
 #: Elements that hold boilerplate. Fixed values.
 OUTSIDE = frozenset("nav header footer aside form menu dialog head search".split())
 CONTAINERS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark boilerplate. Fixed values.
-HINT = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|cookie\w*|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|disqus|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])")
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
+#: Elements whose end is implied where another of the row begins, up to their list or table. Fixed values of the HTML standard.
+IMPLIED = {name: (frozenset(row.split()), frozenset(upto.split())) for row, upto in (("li", "ul ol menu dir"), ("dt dd", "dl"), ("td th", "tr table"), ("tr", "tbody thead tfoot table"), ("tbody thead tfoot", "table"), ("option", "")) for name in row.split()}
+#: Words in class, id or role that mark boilerplate, and words that may stand beside them in one name. Fixed values.
+HINT = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|side|widgets?|footer|header|masthead|cookies?|consent|notices?|notifications?|alerts?|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|disqus|pagination|pager|complementary|contentinfo|search")
+BESIDE = frozenset("reader user visitor site page global main top bottom left right upper lower inner outer primary secondary box bar buttons button posts post articles stories links link list items item section block container wrapper wrap area slot unit panel col column thread form content icons media row group holder placeholder module text inline sticky fixed mobile desktop".split())
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?:!|\?)[^>]*(?:>|$)|<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$))""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WHITE = re.compile(r"\s+")
 
 
+def hinted(value: str) -> bool:
+    """Whether a name in a class, id or role attribute is made of boilerplate words
+    (``ad``, ``reader-comments``), not merely with one (``side-effects``)."""
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        hints = [bool(HINT.fullmatch(x)) for x in parts]
+        if any(hints) and all(h or x in BESIDE or x.isdigit() for h, x in zip(hints, parts, strict=True)):
+            return True
+    return False
+
+
 def lines(source: str | None) -> list[tuple[str, int]]:
     """(text, zone) of each line; zone 2 is inside the content container, 1 is plain,
     0 is boilerplate by its markup. White space is folded and lines are not empty."""
@@ -79,10 +97,11 @@ def lines(source: str | None) -> list[tuple[str, int]]:
         if m.start() > at:
             held.append(source[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
+        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        name = (name or "").lower()
         if not name:
             continue
-        if m[1]:
+        if closing:
             if name in BLOCKS:
                 end()
                 for i in range(len(stack) - 1, -1, -1):
@@ -92,7 +111,7 @@ def lines(source: str | None) -> list[tuple[str, int]]:
                         break
             continue
         if name in RAW:
-            if not m[3].rstrip().endswith("/") or name in ("script", "style"):
+            if not attributes.rstrip().endswith("/") or name in ("script", "style"):
                 if name == "title":
                     end()
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
@@ -106,21 +125,23 @@ def lines(source: str | None) -> list[tuple[str, int]]:
             end()
             if name in VOID:
                 continue
-            inner = zone
-            if name in OUTSIDE and not (name == "header" and zone == 2):  # an article's own header has its title
+            if stack and stack[-1][0] == "p":  # an open p ends where another block begins
+                zone = stack.pop()[1]
+            row, upto = IMPLIED.get(name, ((), ()))
+            for i in range(len(stack) - 1, -1, -1) if row else ():
+                if stack[i][0] in upto:
+                    break
+                if stack[i][0] in row:
+                    zone = stack[i][1]
+                    del stack[i:]
+                    break
+            inner, names = zone, [(a[1].lower(), (a[2] or "").strip("\"'")) for a in ATTRIBUTE.finditer(attributes)]
+            if name in OUTSIDE and not (zone == 2 and (name == "header" or name == "aside" and any("quote" in v.lower() for _, v in names))):
+                inner = 0  # but an article's own header has its title, and a pull quote is its text
+            elif zone and name not in ("body", "html") and any(k == "hidden" or k == "aria-hidden" and v == "true" or hinted(v) for k, v in names):
                 inner = 0
-            elif m[3] and zone and name not in ("body", "html"):
-                for a in ATTRIBUTE.finditer(m[3]):
-                    kind, value = a[1].lower(), (a[2] or "").strip("\"'")
-                    if kind == "hidden" or kind == "aria-hidden" and value == "true" or HINT.search(value):
-                        inner = 0
-                        break
             if inner and name in CONTAINERS:
                 inner = 2
-            # an open p ends where another block begins
-            if stack and stack[-1][0] == "p":
-                zone_before = stack.pop()[1]
-                inner = zone_before if inner == zone and zone != zone_before else inner
             stack.append((name, zone))
             zone = inner
     end()
@@ -131,7 +152,9 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which entries of a are in a longest common subsequence of a and b.
 
     Equal beginnings and ends are taken first; between them only entries of both
-    sides take part, aligned by the classic table, row by row."""
+    sides take part. Where few pairs of entries are equal, the longest ascending
+    chain of pairs is taken; else two rows of the classic table at a time, halving a
+    (Hirschberg). Memory follows the lengths, not their product."""
     n, m = len(a), len(b)
     out = np.zeros(n, bool)
     head = 0
@@ -146,34 +169,74 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     right = b[head : m - tail]
     right = right[np.isin(right, a[head : n - tail])]
     if len(left) and len(right):
-        table = np.zeros((len(left) + 1, len(right) + 1), np.int32)
-        for i in range(1, len(left) + 1):
-            hit = np.where(right == a[left[i - 1]], table[i - 1, :-1] + 1, 0)
-            table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], hit))
-        i, j = len(left), len(right)
-        while i and j:
-            if table[i, j] == table[i - 1, j]:
-                i -= 1
-            elif table[i, j] == table[i, j - 1]:
-                j -= 1
+        _, number = np.unique(np.concatenate([a[left], right]), return_inverse=True)
+        x, y = number[: len(left)], number[len(left) :]
+        pairs = int((np.bincount(x, minlength=len(number)) * np.bincount(y, minlength=len(number))).sum())
+        out[left[_chain(x, y) if pairs <= 8 * (len(x) + len(y)) else _halves(x, y)]] = True
+    return out
+
+
+def _chain(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in x of a longest common subsequence: the longest ascending chain of equal pairs."""
+    places: dict[int, list[int]] = {}
+    for j, v in enumerate(y.tolist()):
+        places.setdefault(v, []).append(j)
+    tops, ends, back, own = [], [], [], []
+    for i, v in enumerate(x.tolist()):
+        for j in reversed(places.get(v, ())):
+            k = bisect_left(tops, j)
+            back.append(ends[k - 1] if k else -1)
+            own.append(i)
+            if k == len(tops):
+                tops.append(j)
+                ends.append(len(own) - 1)
             else:
-                out[left[i - 1]] = True
-                i, j = i - 1, j - 1
+                tops[k], ends[k] = j, len(own) - 1
+    out, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        out.append(own[at])
+        at = back[at]
+    return out[::-1]
+
+
+def _row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of x and every beginning of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x.tolist():
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)))
+    return row
+
+
+def _halves(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in x of a longest common subsequence, by Hirschberg's halving of x."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, j, k, m = todo.pop()
+        if i == j or k == m:
+            continue
+        if j - i == 1:
+            if (y[k:m] == x[i]).any():
+                out.append(i)
+            continue
+        mid = (i + j) // 2
+        cut = k + int(np.argmax(_row(x[i:mid], y[k:m]) + _row(x[mid:j][::-1], y[k:m][::-1])[::-1]))
+        todo += [(i, mid, k, cut), (mid, j, cut, m)]
     return out
 
 
-def keep(zones: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Which lines are the article's, from their zones and what the neighbour shares."""
-    plain = zones == 1
-    if (zones == 2).any():
-        return (zones == 2) | plain & ~shared
-    if plain.any() and shared[plain].mean() > 0.8:
-        return plain
-    return plain & ~shared
+def keep(zones: np.ndarray, shared: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Which lines are the article's, from their zones, what the nearest neighbour
+    shares, and what the neighbours on both sides share."""
+    inside = zones == 2
+    template = both & inside
+    if 2 * template.sum() >= inside.sum():
+        template[:] = False  # a copied article
+    return (zones == 1) & ~shared | inside & ~template
 
 
-def _hashes(batch) -> list[list[int]]:
-    return [[[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in lines(source)] for source in column(batch, "html").to_pylist()]]
+def _hashes(batch) -> list[list]:
+    found = [lines(source) for source in column(batch, "html").to_pylist()]
+    return [[[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in own] for own in found], [[i for i, (_, z) in enumerate(own) if z == 1] for own in found]]
 
 
 def _place(batches):
@@ -197,38 +260,40 @@ def _beginning(a: str, b: str) -> int:
 
 def _decide(batches):
     for batch in batches:
-        rows = batch.to_pylist()
-        uid, out = [], []
-        for r in rows:
-            best = None
+        out = []
+        for r in batch.to_pylist():
+            hits = []
+            own = np.array(r["hashes"], np.int64)
             for other in (r["before"], r["after"]):
                 if other is not None and r["host"] and other["host"] == r["host"]:
-                    near = _beginning(r["path"], other["path"])
-                    if best is None or near > best[0]:
-                        best = (near, other["hashes"])
-            if best:
-                hit = common(np.array(r["hashes"], np.int64), np.array(best[1], np.int64))
-                uid.append(r["uid"])
-                out.append(np.flatnonzero(hit).astype(np.int32).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["uid", "shared"])
+                    hit = common(own, np.array(other["hashes"], np.int64))
+                    copy = bool(r["plain"]) and bool(hit[r["plain"]].all())
+                    hits.append((copy, -_beginning(r["path"], other["path"]), len(hits), hit))
+            if hits:
+                copy, _, _, hit = min(hits)
+                if copy:
+                    hit = hit.copy()
+                    hit[r["plain"]] = False
+                both = hits[0][3] & hits[1][3] if len(hits) == 2 else np.zeros(len(own), bool)
+                out.append((r["uid"], r["uid2"], np.flatnonzero(hit).tolist(), np.flatnonzero(both).tolist()))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["uid", "uid2", "shared", "both"])
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(uid, shared): positions of the lines that a page has in common with its nearest neighbour."""
+    """(uid, uid2, shared, both): positions of the lines that a page has in common
+    with its nearest neighbour, and with the neighbours on both sides."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "")
-    narrow = append(pages.withColumns({"host": host, "path": path}), _hashes, "hashes array<long>").select("uid", "host", "path", "page_id", "hashes").dropDuplicates(["uid"])
-    n = partitions(pages)
-    placed = saved(narrow.repartitionByRange(n, "host", "path", "page_id", "uid").sortWithinPartitions("host", "path", "page_id", "uid").mapInArrow(_place, "uid long, host string, path string, page_id long, hashes array<long>, part int, place long"))
-    counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
-    offset, total = {}, 0
-    for part, k in counts:
-        offset[part] = total
+    narrow = append(pages.withColumns({"host": host, "path": path}), _hashes, "hashes array<long>, plain array<int>").select("uid", "uid2", "host", "path", "page_id", "hashes", "plain").dropDuplicates(["uid", "uid2"])
+    by = ("host", "path", "page_id", "uid", "uid2")
+    placed = saved(narrow.repartitionByRange(partitions(pages), *by).sortWithinPartitions(*by).mapInArrow(_place, "uid long, uid2 long, host string, path string, page_id long, hashes array<long>, plain array<int>, part int, place long"))
+    offset, total = [], 0
+    for part, k in sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row for each partition
+        offset.append((part, total))
         total += k
-    if not total:
-        return placed.select("uid", F.lit(None).cast("array<int>").alias("shared"))
-    offsets = F.create_map(*[F.lit(x) for part, k in offset.items() for x in (part, k)])
-    rank = placed.withColumn("rank", F.col("place") + offsets[F.col("part")]).drop("part", "place", "page_id")
+    offsets = F.broadcast(pages.sparkSession.createDataFrame(offset, "part int, offset long"))
+    rank = placed.join(offsets, "part").withColumn("rank", F.col("place") + F.col("offset")).drop("part", "place", "page_id", "offset")
     block = F.expr(f"rank div {BLOCK}")
     edge = F.pmod("rank", F.lit(BLOCK))
     at = F.when(edge == 0, F.array(block, block - 1)).when(edge == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))
@@ -236,22 +301,24 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("block").orderBy("rank")
     other = F.struct("host", "path", "hashes")
     met = spread.withColumns({"before": F.lag(other).over(w), "after": F.lead(other).over(w)}).where(F.col("block") == block)
-    return met.select("uid", "host", "path", "hashes", "before", "after").mapInArrow(_decide, "uid long, shared array<int>")
+    return met.select("uid", "uid2", "host", "path", "hashes", "plain", "before", "after").mapInArrow(_decide, "uid long, uid2 long, shared array<int>, both array<int>")
 
 
 def _texts(batch) -> tuple[list[str], list[int]]:
     texts = []
-    for source, shared in zip(column(batch, "html").to_pylist(), column(batch, "shared").to_pylist(), strict=True):
+    for source, *found in zip(*(column(batch, c).to_pylist() for c in ("html", "shared", "both")), strict=True):
         own = lines(source)
-        hit = np.zeros(len(own), bool)
-        hit[shared or []] = True
-        kept = keep(np.array([z for _, z in own], np.int8), hit)
+        shared, both = np.zeros((2, len(own)), bool)
+        shared[found[0] or []] = True
+        both[found[1] or []] = True
+        kept = keep(np.array([z for _, z in own], np.int8), shared, both)
         texts.append("\n\n".join(own[i][0] for i in np.flatnonzero(kept)))
     return texts, [len(t) for t in texts]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) as (page_id, url, text, n_chars)."""
-    rows = pages.select("page_id", "url", F.col("html")).withColumn("uid", F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))))
+    whole = (F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    rows = pages.select("page_id", "url", F.col("html")).withColumns({"uid": F.xxhash64(*whole), "uid2": F.xxhash64(F.lit(2), *whole)})
     decisions = shared_lines(rows.withColumn("page_id", F.col("page_id").cast("long")))
-    return append(rows.join(decisions, "uid", "left"), _texts, "text string, n_chars long").select("page_id", "url", "text", "n_chars")
+    return append(rows.join(decisions, ["uid", "uid2"], "left"), _texts, "text string, n_chars long").select("page_id", "url", "text", "n_chars")
