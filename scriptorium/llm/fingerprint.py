@@ -7,11 +7,14 @@ differ only in what is folded have too. ``groups`` compares the bytes within eac
 bucket of one digest, so different texts are never put together.
 
 ``next_documents`` pairs each row with the next one of a global order without one
-large window: rows go to ranges of ids, each range is sorted by its task, and a
-range's first row is also given to the range before. One shuffle of the texts.
-
-Null texts are empty. Rows are ordered by descending doc_id (null last), then by
-text; repeated rows follow each other. An empty table gives an empty result.
+large window: rows go to ranges of ids, each range is sorted and paired by its task,
+and the first and last rows of ranges, two for each, are paired by a small join. One
+shuffle of the texts; neither plan nor row expressions grow with the ranges.
+
+Null texts are empty. Rows are ordered by descending doc_id (null last), then by a
+hash of the text, so that rows of one id or none spread over ranges; repeated rows
+follow each other. An empty table gives an empty result. Very long texts are one row
+each. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -71,55 +74,74 @@ def groups(marked: DataFrame, docs: DataFrame, *, broadcast_rows: int = 300_000)
     return plain.join(exact, ["doc_id", "fingerprint"], "left").withColumn("group_id", F.coalesce("exact", "group_id")).drop("exact")
 
 
-def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """Cuts between up to n ranges of doc_id, in descending order."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    return sorted(set(cuts or []), reverse=True)
+def _paired(batches, compute):
+    """Rows of a range in order: results of all but the last, which have their next row
+    here; the range's first and last row themselves, for the ranges beside it."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    first = held = None
+
+    def table(rows, edges):
+        columns = compute(*(list(c) for c in zip(*rows, strict=True))) if rows else [[]] * (len(names))
+        n = len(edges)
+        arrays = [pa.array([*c, *[None] * n], t) for c, t in zip(columns, types, strict=True)]
+        m = len(rows)
+        arrays += [pa.array([None] * m + [e[i] for e in edges], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, *EDGE])
+
+    names, types = compute.names, compute.types
+    for batch in batches:
+        rows = []
+        for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if held is None:
+                first = row
+            else:
+                rows.append((*held, row[1]))
+            held = row
+        yield table(rows, [])
+    if held is not None:
+        yield table([], [(part, True, *first), (part, False, *held)])
+
+
+EDGE = ("__part", "__first", "__id", "__text")
+
+
+class _Compute:
+    """A function with the Arrow names and types of its result."""
+
+    def __init__(self, function, fields: str):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import _parse_datatype_string
+
+        schema = to_arrow_schema(_parse_datatype_string(fields))
+        self.function, self.names, self.types = function, schema.names, schema.types
+
+    def __call__(self, *columns):
+        return self.function(*columns)
 
 
 def next_documents(docs: DataFrame, compute, fields: str) -> DataFrame:
-    """mapInArrow over rows in descending doc_id with the next row's text (after the
+    """Results over rows in descending doc_id with the next row's text (after the
     last: the first's): compute(ids, texts, next_texts) -> list of arrays."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = _ranges(docs, 2 * partitions(docs))
-    # range 0 has the greatest ids; nulls are last
-    which = F.lit(0)
-    if cuts:
-        which = F.size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id")))
-        which = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(which)
-    placed = docs.withColumn("range", which)
-    tops = {r["range"]: r["top"] for r in placed.select("doc_id", "range").groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops)  # ranges that have rows, bounded by the number of partitions
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    copies = F.create_map(*[F.lit(x) for r in order for x in (r, before[r])]) if order else None
-    if order:
-        leads = F.create_map(*[F.lit(x) for r in order for x in (r, tops[r] if tops[r] is not None else -(2**63))])
-        lead = F.coalesce("doc_id", F.lit(-(2**63))) == leads[F.col("range")]
-        both = F.when(lead, F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("copy")), F.struct(copies[F.col("range")].alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("copy"))))
-        placed = placed.withColumn("at", F.explode(both)).select("doc_id", "text", F.col("at.r").alias("range"), F.col("at.copy").alias("copy"))
-    else:
-        placed = placed.withColumn("copy", F.lit(False))
-    placed = placed.repartition(2 * partitions(docs), "range").sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), "text")
+    compute = _Compute(compute, fields)
+    by = (F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("text"))
+    placed = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(2 * partitions(docs), *by[:2]).sortWithinPartitions(*by).drop("hash")
+    done = saved(placed.mapInArrow(lambda batches: _paired(batches, compute), f"{fields}, __part int, __first boolean, __id long, __text string"))
+    # two rows for each range; the order of ranges is a number for each of them
+    edges = done.where("__part is not null").select(*EDGE)
+    order = sorted(r["__part"] for r in edges.where("__first").select("__part").collect())
+    follow = docs.sparkSession.createDataFrame([(p, order[(i + 1) % len(order)]) for i, p in enumerate(order)], "__part int, after int")
+    firsts = edges.where("__first").select(F.col("__part").alias("after"), F.col("__text").alias("next"))
+    lasts = edges.where("not __first").join(F.broadcast(follow), "__part").join(firsts, "after").select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"), "next")
 
     def run(batches):
-        held, waiting = None, False  # a row without its next one yet; whether a copy may still come
         for batch in batches:
-            ids, texts, nexts = [], [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("range", "copy", "doc_id", "text")), strict=True):
-                if held is not None and held[0] == row[0]:
-                    ids.append(held[2])
-                    texts.append(held[3])
-                    nexts.append(row[3])
-                held = None if row[1] else row
-            out = compute(ids, texts, nexts)
-            yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(out, types, strict=True)], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(fields))
-    names, types = schema.names, schema.types
-    return placed.mapInArrow(run, fields)
+            columns = compute(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next")))
+            yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(columns, compute.types, strict=True)], names=compute.names)
+
+    return done.where("__part is null").drop(*EDGE).union(lasts.mapInArrow(run, fields))
 
 
 def edited(text: str, other: str) -> str:
