@@ -7,18 +7,23 @@ the one before shows a template that rewrites history: its turns are then locate
 in the last output by what all later outputs agree on, and ``rewrites_history`` is
 set. Within a span the content is found by rendering the turn with another content.
 
-Long conversations are rendered in windows of BLOCK turns, each beginning with the
-last turn of the one before, whose own output is left out. Work is then linear in
-the number of turns, and for a template that only appends, output is the same as
-that of rendering all turns at once.
+A template that declares ``append_only`` (this module's own does, being a join of
+turns) is rendered in windows of BLOCK turns, each beginning with the last turn of the
+one before, whose own output is left out: work is linear in the number of turns, and
+the output is that of rendering all turns at once. Any other template is rendered for
+every prefix of the whole conversation, whatever its length, so its output and
+rewritten history do not depend on windows.
 
 The escaping template marks turns with control strings. Its escape character and
 every bracket that could begin a control string are escaped inside texts, so
 ``parse`` gets back roles and texts exactly.
 
-Rows are sorted by conversation and turn and streamed: memory follows a window,
-not a conversation. Null texts and roles are empty; a null turn comes first; equal
-turns go by role and text; rows of a null conv_id are one conversation.
+Rows are sorted by conversation and turn and streamed: memory follows a window, not a
+conversation, where the template appends only. The digest of a conversation's turns in
+order is one running hash, so a conversation is one task by nature. Null texts and
+roles are empty; a null turn comes first; equal turns go by role and text; rows of a
+null conv_id are one conversation; an empty table gives none. Very long texts are held
+one window at a time. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -57,6 +62,9 @@ def template(messages: list[dict]) -> str:
     return "".join(f"{START}{escape(m['role'])}{TEXT}{escape(m['content'])}{END}\n" for m in messages)
 
 
+template.append_only = True
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of what template() made."""
     out = []
@@ -102,7 +110,7 @@ class _Conversation:
 
     def add(self, role: str, text: str) -> None:
         self.held.append({"role": role, "content": text})
-        if len(self.held) == BLOCK:
+        if len(self.held) == BLOCK and getattr(self.render, "append_only", False):
             self.flush()
 
     def flush(self) -> None:
@@ -133,17 +141,17 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64
 
 
 def _stream(batches):
-    now, done = None, []
+    now, key, done = None, None, []
 
     def table():
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 7, _TYPES, strict=True)], names=_NAMES)
 
     for batch in batches:
-        for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            if now is None or now.conv_id != conv_id:
+        for added, conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("added", "conv_id", "role", "text")), strict=True):
+            if now is None or (added, conv_id) != key:
                 if now is not None:
                     done.append(now.row())
-                now = _Conversation(conv_id, template)
+                now, key = _Conversation(conv_id, template), (added, conv_id)
             now.add(role, text)
         yield table()
         done = []
@@ -152,10 +160,16 @@ def _stream(batches):
     yield table()
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """A row for each conversation, read back from its formatted output."""
-    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    ordered = turns.repartition(partitions(turns), "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+def _turns(conversations: DataFrame, added: bool) -> DataFrame:
+    return conversations.select(F.lit(added).alias("added"), F.col("conv_id").cast("long"), F.col("turn").cast("long"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+
+
+def digests(conversations: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """A row for each conversation, read back from its formatted output. Those of
+    ``more`` are others, even where they have the same conv_id."""
+    turns = _turns(conversations, False)
+    turns = turns if more is None else turns.union(_turns(more, True))
+    ordered = turns.repartition(partitions(turns), "added", "conv_id").sortWithinPartitions("added", F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
     return ordered.mapInArrow(_stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")
 
 
@@ -199,13 +213,13 @@ def extra(spark) -> DataFrame:
 
 def report(conversations: DataFrame) -> DataFrame:
     """The columns of contract 10, and rewrites_history."""
-    return digests(conversations.select("conv_id", "turn", "role", "text").union(extra(conversations.sparkSession)))
+    return digests(conversations, extra(conversations.sparkSession))
 
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+  SELECT 0 AS added, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT 1, -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
 ), e AS (
   SELECT *, length(role) + length(text) + 24
     + (length(role) - length(replace(role, chr(92), ''))) + (length(role) - length(replace(role, '<', ''))) + (length(role) - length(replace(role, '[', '')))
@@ -217,5 +231,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars, false AS rewrites_history
-FROM e GROUP BY conv_id
+FROM e GROUP BY added, conv_id
 """
