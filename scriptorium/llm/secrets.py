@@ -1,18 +1,25 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest,
 with SQL functions only on the data.
 
-Candidates are runs of at least 12 token characters with a digit, with the name
-they are assigned to, if any, and what stands before. Features of a candidate are its
-length, its character transitions (changes of class, and pairs of letters usual in
-words), the share of it that dictionary words cover, whether it looks like a path,
-and the neighbouring words. A forest of small trees, fitted in numpy on the driver
-from the labelled findings below (a fixed, seeded set of FINDINGS rows), becomes SQL
-CASE expressions that are evaluated within the row: no shuffle, no Python worker.
+Candidates are of three kinds: values assigned to a name that speaks of secrets
+(quoted, or up to a space, with any punctuation, 6 characters or more); strings in the
+form of an issued key; and runs of at least 12 token characters with a digit, with the
+name they are assigned to, if any. Up to two words before a candidate and two after it
+are its neighbouring words. Features are its length, its character transitions (changes
+of class, and pairs of letters usual in words), the share of it that dictionary words
+cover, whether it looks like a path or a placeholder, and name and neighbouring words.
+A forest of small trees, fitted in numpy on the driver from the labelled findings below
+(a fixed, seeded set of FINDINGS rows), becomes SQL CASE expressions that are evaluated
+within the row: no shuffle, no Python worker.
 
 A candidate is a secret if the mean of the trees' shares is at least 0.5. In
-``redact`` every occurrence of a text's secrets becomes MASK. Null texts have no
-candidates and stay null; repeated secrets of a text are listed once; ties (exactly
-0.5) count as secrets. Input columns named as an output are replaced.
+``redact`` a text is cut once at its candidates, and MASK takes the place of every
+candidate that is a secret by itself or equal to one of the text's secrets, so the time
+is linear in the text also where it lists many keys. Null texts have no candidates and
+stay null, empty ones stay empty, an empty table gives an empty one; repeated secrets of
+a text are listed once; repeated rows each give a row; ties (exactly 0.5) count as
+secrets. Very long texts are handled whole, within their row. Input columns named as an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -27,70 +34,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = "<secret>"
-FINDINGS, TREES, DEPTH = 4000, 15, 5
+FINDINGS, TREES, DEPTH = 6000, 15, 5
+_SIGN = "[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}"
+_SECRET = "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]ass|PASS|[Pp]wd|PWD|[Aa][Pp][Ii][_.-]?[Kk][Ee][Yy]|[Aa]uth(?!or)|AUTH(?!OR)|[Cc]redential|CREDENTIAL|[Pp]rivate[_.-]?[Kk]ey|PRIVATE_KEY|[Aa]ccess[_.-]?[Kk]ey|ACCESS_KEY|[Bb]earer|BEARER)"
+_WHITE = " \t\n\r\f\x0b"
+#: Forms of issued keys. Fixed values.
+_KEYS = "(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{30,60}|sk_live_[A-Za-z0-9]{16,100}|sk-[A-Za-z0-9]{20,100}|glpat-[A-Za-z0-9_-]{16,60}|eyJ[A-Za-z0-9_-]{10,}(?:[.][A-Za-z0-9_-]{4,}){1,2}"
 TOKEN = "(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}"
-#: [what stands before] [name and sign] token
-CANDIDATE = f"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z][A-Za-z0-9_.-]{{1,40}}[\"']?[ \\t]{{0,3}}(?::|=>?|:=)[ \\t]{{0,3}}[\"']?)?(?<![A-Za-z0-9+/_-]){TOKEN}"
+#: Up to two words before; a secret name with its value, or an issued key, or [name and sign] token.
+CANDIDATE = (
+    "(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]{2,20}[ \t]{1,3}){0,2}"
+    f"(?:[A-Za-z0-9_.-]{{0,30}}{_SECRET}[A-Za-z0-9_.-]{{0,20}}{_SIGN}(?:\"[^\"{_WHITE}]{{6,}}\"|'[^'{_WHITE}]{{6,}}'|[^\"'<>,;(){{}}\\[\\]{_WHITE}]{{6,}})"
+    f"|(?:[A-Za-z][A-Za-z0-9_.-]{{1,40}}{_SIGN}[\"']?)?(?<![A-Za-z0-9+/_-])(?:(?:{_KEYS})(?![A-Za-z0-9+/_-])|{TOKEN}))"
+)
+#: The two words after a candidate, beside which nothing is taken.
+AFTER = "(?=((?:[\"' \t,.;)]{1,3}[A-Za-z]{2,20}){0,2}))"
 #: Words of identifiers, paths and prose that random strings do not have. Fixed values.
 DICTIONARY = "example|sample|placeholder|changeme|default|dummy|secret|password|token|build|version|release|commit|image|static|assets|index|archive|content|article|document|report|update|module|object|string|number|class|config|server|client|local|remote|public|source|target|output|input|data|file|path|page|user|name|test|demo|node|java|script|python|linux|http|https|www|com|org|html|json|year|month|date|time|line|item|list|part|from|with|that|this|tion|ment|ness|able"
 #: Pairs of letters that are usual in words. Fixed values.
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt"
 CHANGES = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
-SECRET_NAME = "(?i)token|secret|passw|pwd|api.?key|auth|credential|private|access.?key|bearer"
+SECRET_NAME = "(?i)token|secret|passw|pass$|pwd|api.?key|auth(?!or)|credential|private|access.?key|bearer"
 PLAIN_NAME = "(?i)sha[0-9]*$|md5|commit|checksum|digest|hash|uuid|guid|version|build|rev|etag|integrity|phone|card|order|isbn|file|path|url|href|src|id$"
-ISSUED = "^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-|^AIza|^sk_live_|^sk-[A-Za-z0-9]{20}|^glpat-|^eyJ[A-Za-z0-9_-]{10}"
-NAMED = "^([A-Za-z][A-Za-z0-9_.-]*)[\"']?[ \\t]*(?::|=>?|:=)[ \\t]*[\"']?(.*)$"
-FEATURES = ("length", "digits", "letters", "changes", "pairs", "dictionary", "path", "secret_name", "plain_name", "issued", "hexadecimal", "upper")
+ISSUED = f"^(?:{_KEYS})$"
+#: What stands for a value, or computes one. Fixed values.
+STANDIN = "(?i)^[$%<{\\[]|[*x.#0]{4,}|(?:^|[^a-z])(?:your|my|none|null|nil|true|false|undefined|required|optional|string|env|environ|getenv|getpass|process|config|settings|example|changeme|placeholder|redacted|hidden|empty)(?:[^a-z]|$)|[()]"
+PARTS = f"^((?:[A-Za-z]{{2,20}}[ \t]{{1,3}}){{0,2}}?)(?:([A-Za-z0-9_.-]+){_SIGN})?[\"']?([^{_WHITE}]*?)[\"']?$"
+FEATURES = ("length", "digits", "letters", "changes", "pairs", "dictionary", "path", "secret_name", "plain_name", "issued", "hexadecimal", "upper", "marks", "standin", "secret_near", "plain_near")
 
 
-def features(name: str, token: str) -> list[float]:
-    """The features in Python, for fitting; _features() is the same in SQL."""
-    n = len(token)
+def features(name: str, token: str, near: str = "") -> list[float]:
+    """The features in Python, for fitting; _features() is the same in SQL. Near: the neighbouring words."""
+    n = max(1, len(token))
     low = token.lower()
     return [
-        float(n),
+        float(len(token)),
         len(re.findall("[0-9]", token)) / n,
         len(re.findall("[A-Za-z]", token)) / n,
         len(re.findall(CHANGES, token)) / n,
         len(re.findall(PAIRS, low)) / n,
-        (n - len(re.sub(DICTIONARY, "", low))) / n,
+        (len(token) - len(re.sub(DICTIONARY, "", low))) / n,
         len(re.findall("/", token)) / n,
         float(bool(re.search(SECRET_NAME, name))),
         float(bool(re.search(PLAIN_NAME, name))),
         float(bool(re.search(ISSUED, token))),
         float(bool(re.search("^[0-9a-fA-F-]+$", token))),
         len(re.findall("[A-Z]", token)) / n,
+        len(re.findall("[^A-Za-z0-9]", token)) / n,
+        float(bool(re.search(STANDIN, token))),
+        float(bool(re.search(NEAR_SECRET, near))),
+        float(bool(re.search(NEAR_PLAIN, near))),
     ]
 
 
-def _features(name, token):
-    n = F.length(token)
+def _features(name, token, near):
+    n = F.greatest(F.length(token), F.lit(1))
     low = F.lower(token)
 
     def flag(x):
         return x.cast("double")
 
     values = [
-        n.cast("double"),
+        F.length(token).cast("double"),
         F.regexp_count(token, F.lit("[0-9]")) / n,
         F.regexp_count(token, F.lit("[A-Za-z]")) / n,
         F.regexp_count(token, F.lit(CHANGES)) / n,
         F.regexp_count(low, F.lit(PAIRS)) / n,
-        (n - F.length(F.regexp_replace(low, DICTIONARY, ""))) / n,
+        (F.length(token) - F.length(F.regexp_replace(low, DICTIONARY, ""))) / n,
         F.regexp_count(token, F.lit("/")) / n,
         flag(name.rlike(SECRET_NAME)),
         flag(name.rlike(PLAIN_NAME)),
         flag(token.rlike(ISSUED)),
         flag(token.rlike("^[0-9a-fA-F-]+$")),
         F.regexp_count(token, F.lit("[A-Z]")) / n,
+        F.regexp_count(token, F.lit("[^A-Za-z0-9]")) / n,
+        flag(token.rlike(STANDIN)),
+        flag(near.rlike(NEAR_SECRET)),
+        flag(near.rlike(NEAR_PLAIN)),
     ]
-    return F.struct(name.alias("name"), token.alias("token"), *(v.alias(k) for k, v in zip(FEATURES, values, strict=True)))
+    return F.struct(token.alias("token"), *(v.alias(k) for k, v in zip(FEATURES, values, strict=True)))
 
 
-def findings(n: int = FINDINGS, seed: int = 31) -> list[tuple[str, str, int]]:
-    """Labelled findings (name, token, is_secret), made from a seed."""
+#: Neighbouring words that speak of secrets, and of public values. Fixed values.
+NEAR_SECRET = "(?i)(?:^|[^a-z])(?:key|keys|secret|secrets|token|password|passwords|credential|credentials|login|leaked|rotate|revoke|private|aws|bearer|auth)(?:[^a-z]|$)"
+NEAR_PLAIN = "(?i)(?:^|[^a-z])(?:commit|checksum|digest|hash|version|build|revision|uuid|order|card|phone|isbn|file|path|image|release|tag|example|sample|placeholder|public)(?:[^a-z]|$)"
+
+
+def findings(n: int = FINDINGS, seed: int = 31) -> list[tuple[str, str, str, int]]:
+    """Labelled findings (name, token, neighbouring words, is_secret), made from a seed."""
     r = random.Random(seed)
     hexa, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    lower = base[26:52]
 
     def some(alphabet: str, k: int) -> str:
         return "".join(r.choice(alphabet) for _ in range(k))
@@ -98,41 +132,75 @@ def findings(n: int = FINDINGS, seed: int = 31) -> list[tuple[str, str, int]]:
     def digit(t: str) -> str:
         return t if any(c.isdigit() for c in t) else t[:-1] + r.choice("0123456789")
 
+    def spoken() -> str:
+        """A word that can be said, as prose has and dictionaries do not."""
+        return "".join(r.choice("bcdfghklmnprstvw") + r.choice(["a", "e", "i", "o", "u", "er", "an", "in", "ti"]) for _ in range(r.randint(2, 4)))
+
     words = DICTIONARY.split("|")
-    names = ["token", "password", "secret", "api_key", "apiKey", "auth_token", "passwd", "db_password", "access_key", "client_secret", "private_key", "credential", "bearer"]
+    names = ["token", "TOKEN", "password", "PASSWORD", "secret", "api_key", "apiKey", "auth_token", "passwd", "db_password", "DB_PASS", "access_key", "client_secret", "private_key", "credential", "bearer", "pwd"]
     plain = ["sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "version", "build", "etag", "integrity", "order", "card", "phone", "file", "path", "url", "id", "rev", "isbn"]
+    secret_words = ["the aws key", "leaked", "rotate this secret", "private", "login", "my token"]
+    plain_words = ["see commit", "the checksum", "order", "card", "an example", "build", "file hash"]
+    stand = ["required", "optional", "string", "null", "undefined", "changeme", "process.env.TOKEN", "os.environ", "getpass.getpass", "config.secret", "settings.PASSWORD", "${SECRET}", "$PASSWORD", "%TOKEN%", "********", "xxxxxxxx", "your-password", "your_api_key", "YOUR_TOKEN_HERE", "<password>", "example_token", "disabled", "basic", "authentication", "expired", "missing"]
+    marks = "!@#$%^&*-_+=?"
     out = []
     while len(out) < n:
-        kind = r.randrange(14)
+        kind = r.randrange(22)
         name, none = r.choice(names), r.random() < 0.3
+        about = " ".join(spoken() for _ in range(r.randint(0, 4)))
+        if r.random() < 0.15:
+            about = r.choice(secret_words) + " " + about
         if kind == 0:
-            out.append((name, digit(some(hexa, r.choice([16, 18, 20, 24, 32, 40, 64]))), 1))
+            found = (name, digit(some(hexa, r.choice([16, 18, 20, 24, 32, 40, 64]))), 1)
         elif kind == 1:
-            out.append((name, digit(some(base, r.randint(12, 48))), 1))
+            found = (name, digit(some(base, r.randint(12, 48))), 1)
         elif kind == 2:
-            out.append(("" if none else r.choice([*names, "key", "aws"]), "AKIA" + some(base[:26] + "234567", 15) + r.choice("234567"), 1))
+            found = ("" if none else r.choice([*names, "key", "aws"]), "AKIA" + some(base[:26] + "234567", 16), 1)
         elif kind == 3:
-            out.append(("" if none else r.choice([*names, "key", "github"]), "ghp_" + digit(some(base, 36)), 1))
+            found = ("" if none else r.choice([*names, "key", "github"]), "ghp_" + some(base, 36), 1)
         elif kind == 4:
-            out.append((name, digit(some(base + "+/_-", r.randint(20, 64))), 1))
+            found = (name, digit(some(base + "+/_-", r.randint(20, 64))), 1)
         elif kind == 5:
-            out.append(("" if none else name, r.choice(["sk_live_", "xoxb-", "AIza", "eyJ"]) + digit(some(base, r.randint(20, 40))), 1))
+            found = ("" if none else name, r.choice(["sk_live_", "xoxb-", "sk-"]) + some(base, r.randint(24, 40)), 1)
         elif kind == 6:
-            out.append((r.choice(plain), digit(some(hexa, r.choice([16, 32, 40, 64]))), 0))
+            found = (r.choice(plain), digit(some(hexa, r.choice([16, 32, 40, 64]))), 0)
         elif kind == 7:
-            out.append(("" if none else r.choice(plain), "-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), 0))
+            found = ("" if none else r.choice(plain), "-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), 0)
         elif kind == 8:
-            out.append(("" if none else r.choice(plain), some("0123456789", r.randint(12, 19)), 0))
+            found = ("" if none else r.choice(plain), some("0123456789", r.randint(12, 19)), 0)
         elif kind == 9:
-            out.append(("" if r.random() < 0.6 else r.choice(plain), "/".join(r.choice(words) for _ in range(r.randint(2, 5))) + "/" + some("0123456789", r.randint(1, 5)), 0))
+            found = ("" if r.random() < 0.6 else r.choice(plain), "/".join(r.choice(words) for _ in range(r.randint(2, 5))) + "/" + some("0123456789", r.randint(1, 5)), 0)
         elif kind == 10:
-            out.append((r.choice([*names, *plain, ""]), r.choice("_-").join(r.choice(words) for _ in range(r.randint(2, 5))) + some("0123456789", r.randint(1, 4)), 0))
+            found = (r.choice([*names, *plain, ""]), r.choice("_-").join(r.choice(words) for _ in range(r.randint(2, 5))) + some("0123456789", r.randint(1, 4)), 0)
         elif kind == 11:
-            out.append((name, r.choice(["your", "my", "xxxx", "0000", "1234", "example", "placeholder", "changeme"]) + "_" + r.choice(words) + "_" + r.choice(words) + r.choice("0123456789"), 0))
+            found = (name, r.choice(["your", "my", "xxxx", "0000", "1234", "example", "placeholder", "changeme"]) + "_" + r.choice(words) + "_" + r.choice(words) + r.choice("0123456789"), 0)
         elif kind == 12:
-            out.append(("", digit(some(hexa, r.choice([16, 20, 32, 40, 64]))), 0))
-        else:
-            out.append(("", some(base[26:52], r.randint(10, 20)) + some("0123456789", r.randint(1, 3)), 0))
+            found = ("", digit(some(hexa, r.choice([16, 20, 32, 40, 64]))), 0)
+            about = r.choice(plain_words) if r.random() < 0.5 else " ".join(spoken() for _ in range(2))
+        elif kind == 13:
+            found = ("", some(lower, r.randint(10, 20)) + some("0123456789", r.randint(1, 3)), 0)
+        elif kind == 14:  # a phrase as a password
+            found = (name, "".join(spoken() for _ in range(r.randint(3, 5))) + r.choice(["", "", some("0123456789", 2)]), 1)
+        elif kind == 15:  # letters of any kind, no digit
+            found = (name, some(r.choice([lower, base[:52]]), r.randint(14, 40)), 1)
+        elif kind == 16:  # with punctuation
+            t = list(some(base, r.randint(6, 16)))
+            for _ in range(r.randint(1, 3)):
+                t[r.randrange(len(t))] = r.choice(marks)
+            found = (name, "".join(t), 1)
+        elif kind == 17:  # a word with a few digits
+            found = (r.choice(["password", "passwd", "pwd", "DB_PASS", "db_password"]), spoken()[:8] + some("0123456789", r.randint(1, 4)), 1)
+        elif kind == 18:
+            found = (name, r.choice(stand), 0)
+        elif kind == 19:  # prose after a colon
+            word = spoken()[:11]
+            found = (name, r.choice([word, word, word.capitalize()]) + r.choice(["", ".", "!"]), 0)
+        elif kind == 20:
+            found = ("" if none else name, r.choice(words) + r.choice(["", ".", "_"]) + r.choice(words) + r.choice(["", "s", "ed"]), 0)
+        else:  # a key without a name, but with words that tell
+            found = ("", digit(some(r.choice([hexa, base]), r.choice([32, 40, 48]))), 1)
+            about = r.choice(secret_words)
+        out.append((found[0], found[1], about.strip(), found[2]))
     return out
 
 
@@ -160,14 +228,14 @@ def _tree(x: np.ndarray, y: np.ndarray, r: np.random.Generator, depth: int):
 def forest(n: int = FINDINGS, seed: int = 31) -> tuple:
     """Trees as nested (feature, cut, at most, above), leaves as shares of secrets."""
     rows = findings(n, seed)
-    x = np.array([features(a, t) for a, t, _ in rows])
-    y = np.array([s for *_, s in rows], float)
+    x = np.array([features(*row[:3]) for row in rows])
+    y = np.array([row[3] for row in rows], float)
     r = np.random.default_rng(seed)
     return tuple(_tree(x[i], y[i], r, DEPTH) for i in (r.integers(0, len(y), len(y)) for _ in range(TREES)))
 
 
-def probability(name: str, token: str) -> float:
-    x = features(name, token)
+def probability(name: str, token: str, near: str = "") -> float:
+    x = features(name, token, near)
 
     def walk(t):
         while not isinstance(t, float):
@@ -184,37 +252,45 @@ def _case(tree, row):
     return F.when(row[FEATURES[f]] <= cut, _case(low, row)).otherwise(_case(high, row))
 
 
-def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with n_candidates and secrets, the distinct secret strings of a text in order."""
-    docs = docs.drop("n_candidates", "secrets")
-    body = F.col(text)
-    found = F.when(body.rlike("[0-9]"), F.regexp_extract_all(body, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    found = F.coalesce(found, F.array().cast("array<string>"))
-    out = docs.withColumn("__found", found)
+def _parts(found, after):
+    """Features of a candidate: its own words before, name and token, and the words after it."""
+    return _features(F.regexp_extract(found, PARTS, 2), F.regexp_extract(found, PARTS, 3), F.concat_ws(" ", F.regexp_extract(found, PARTS, 1), after))
+
 
-    def parts(c):
-        named = c.rlike(NAMED)
-        token = F.when(named, F.regexp_extract(c, NAMED, 2)).otherwise(c)
-        return _features(F.when(named, F.regexp_extract(c, NAMED, 1)).otherwise(F.lit("")), token)
+def _vote(row):
+    total = None
+    for tree in forest():
+        v = _case(tree, row)
+        total = v if total is None else total + v
+    return total / TREES >= 0.5
 
-    def vote(row):
-        total = None
-        for tree in forest():
-            v = _case(tree, row)
-            total = v if total is None else total + v
-        return total / TREES >= 0.5
 
-    judged = F.filter(F.transform("__found", parts), vote)
-    secrets = F.when(F.size("__found") > 0, F.array_distinct(F.transform(judged, lambda r: r["token"]))).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("secrets", secrets).withColumn("n_candidates", F.size("__found").cast("long")).drop("__found")
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __found: candidates, their tokens, and whether they are secrets by themselves."""
+    whole = F.lit(f"({CANDIDATE}){AFTER}")
+    none = F.array().cast("array<string>")
+    docs = docs.withColumns({"__own": F.coalesce(F.regexp_extract_all(text, whole, F.lit(1)), none), "__after": F.coalesce(F.regexp_extract_all(text, whole, F.lit(2)), none)})
+    judged = F.transform(F.zip_with("__own", "__after", _parts), lambda row: F.struct(row["token"].alias("token"), _vote(row).alias("secret")))
+    return docs.withColumn("__found", F.zip_with("__own", judged, lambda own, j: F.struct(own.alias("own"), j["token"].alias("token"), j["secret"].alias("secret")))).drop("__own", "__after")
+
+
+def _listed(docs: DataFrame) -> DataFrame:
+    secrets = F.array_distinct(F.transform(F.filter("__found", lambda f: f["secret"]), lambda f: f["token"]))
+    return docs.withColumns({"secrets": secrets, "n_candidates": F.size("__found").cast("long")})
+
+
+def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """docs with n_candidates and secrets, the distinct secret strings of a text in order."""
+    return _listed(_scanned(docs.drop("n_candidates", "secrets"), text)).drop("__found")
 
 
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """scan() with the secrets in the text replaced by MASK, longest first."""
-    out = scan(docs, text=text)
-    ordered = F.reverse(F.array_sort(F.transform("secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
-    clean = F.aggregate(ordered, F.col(text), lambda t, s: F.replace(t, s["s"], F.lit(MASK)))
-    return out.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text)))
+    """scan() with MASK in the text in the place of its secrets."""
+    out = _listed(_scanned(docs.drop("n_candidates", "secrets"), text))
+    masked = F.transform("__found", lambda f: F.when(f["secret"] | F.array_contains(F.col("secrets"), f["token"]), F.replace(f["own"], f["token"], F.lit(MASK))).otherwise(f["own"]))
+    between = F.split(F.col(text), CANDIDATE, -1)
+    clean = F.concat_ws("", F.flatten(F.zip_with(between, masked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    return out.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text))).drop("__found")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -225,16 +301,16 @@ def brute(text: str | None) -> tuple[int, list[str], str | None]:
     """(n_candidates, secrets, redacted text) in Python, for tests."""
     if text is None:
         return 0, [], None
-    secrets, n = [], 0
-    for m in re.finditer(CANDIDATE, text):
-        n += 1
-        named = re.search(NAMED, m[0])
-        name, token = (named[1], named[2]) if named else ("", m[0])
-        if probability(name, token) >= 0.5 and token not in secrets:
-            secrets.append(token)
-    for s in sorted(secrets, key=lambda s: (len(s), s), reverse=True):
-        text = text.replace(s, MASK)
-    return n, secrets, text
+    found = []
+    for m in re.finditer(f"({CANDIDATE}){AFTER}", text):
+        near, name, token = re.search(PARTS, m[1]).groups()
+        found.append((m[1], token, probability(name or "", token, f"{near} {m[2]}") >= 0.5))
+    secrets = list(dict.fromkeys(t for _, t, s in found if s))
+    between = re.split(CANDIDATE, text)
+    out = [between[0]]
+    for (own, token, _), rest in zip(found, between[1:], strict=True):
+        out += [own.replace(token, MASK) if token in secrets else own, rest]
+    return len(found), secrets, "".join(out)
 
 
 def digest(text: str | None) -> str | None:
