@@ -139,10 +139,11 @@ def _bundles(batches):
 
 
 def fit(docs: DataFrame, *, fit_docs: int = 20_000) -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototypes) from at most fit_docs rows with text and lang."""
+    """(languages, unit prototypes) from at most fit_docs texts with lang, one for each
+    of as many doc_ids; of rows that share an id the least counts."""
     known = docs.where("text is not null and lang is not null")
     chosen = hashed_sample(known.select("doc_id").distinct(), "doc_id", fit_docs, "language")
-    parts = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("text", "lang").coalesce(8).mapInArrow(_bundles, "lang string, vector array<double>").collect()
+    parts = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("row.*").mapInArrow(_bundles, "lang string, vector array<double>").collect()
     sums: dict[str, np.ndarray] = {}
     for lang, vector in sorted((r.lang, r.vector) for r in parts):
         sums[lang] = sums.get(lang, 0) + np.array(vector)
