@@ -11,9 +11,9 @@ large window: rows go to ranges of ids, each range is sorted and paired by its t
 and the first and last rows of ranges, two for each, are paired by a small join. One
 shuffle of the texts; neither plan nor row expressions grow with the ranges.
 
-Null texts are empty. Rows are ordered by descending doc_id (null last), then by a
-hash of the text, so that rows of one id or none spread over ranges; repeated rows
-follow each other. An empty table gives an empty result. Very long texts are one row
+Null texts are empty. Rows are ordered by descending doc_id (null last), then by
+text, and ranges follow both, so that rows of one id or none spread over them; repeated
+rows follow each other. An empty table gives an empty result. Very long texts are one row
 each. Other columns are not read, so their names cannot clash.
 """
 
@@ -126,8 +126,8 @@ def next_documents(docs: DataFrame, compute, fields: str) -> DataFrame:
     last: the first's): compute(ids, texts, next_texts) -> list of arrays."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     compute = _Compute(compute, fields)
-    by = (F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("text"))
-    placed = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(2 * partitions(docs), *by[:2]).sortWithinPartitions(*by).drop("hash")
+    by = F.col("doc_id").desc_nulls_last()
+    placed = docs.repartitionByRange(2 * partitions(docs), by, F.substring("text", 1, 256)).sortWithinPartitions(by, "text")
     done = saved(placed.mapInArrow(lambda batches: _paired(batches, compute), f"{fields}, __part int, __first boolean, __id long, __text string"))
     # two rows for each range; the order of ranges is a number for each of them
     edges = done.where("__part is not null").select(*EDGE)
