@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = "<secret>"
-FINDINGS, TREES, DEPTH = 6000, 15, 5
+FINDINGS, TREES, DEPTH = 8000, 15, 6
 _SIGN = "[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}"
 _SECRET = "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]ass|PASS|[Pp]wd|PWD|[Aa][Pp][Ii][_.-]?[Kk][Ee][Yy]|[Aa]uth(?!or)|AUTH(?!OR)|[Cc]redential|CREDENTIAL|[Pp]rivate[_.-]?[Kk]ey|PRIVATE_KEY|[Aa]ccess[_.-]?[Kk]ey|ACCESS_KEY|[Bb]earer|BEARER)"
 _WHITE = " \t\n\r\f\x0b"
@@ -58,7 +58,7 @@ SECRET_NAME = "(?i)token|secret|passw|pass$|pwd|api.?key|auth(?!or)|credential|p
 PLAIN_NAME = "(?i)sha[0-9]*$|md5|commit|checksum|digest|hash|uuid|guid|version|build|rev|etag|integrity|phone|card|order|isbn|file|path|url|href|src|id$"
 ISSUED = f"^(?:{_KEYS})$"
 #: What stands for a value, or computes one. Fixed values.
-STANDIN = "(?i)^[$%<{\\[]|[*x.#0]{4,}|(?:^|[^a-z])(?:your|my|none|null|nil|true|false|undefined|required|optional|string|env|environ|getenv|getpass|process|config|settings|example|changeme|placeholder|redacted|hidden|empty)(?:[^a-z]|$)|[()]"
+STANDIN = "(?i)^[$%<{\\[]|[*x.#]{4,}|0{6,}|(?:^|[^a-z])(?:your|my|none|null|nil|true|false|undefined|required|optional|string|env|environ|getenv|getpass|process|config|settings|example|changeme|placeholder|redacted|hidden|empty)(?:[^a-z]|$)|[()]"
 PARTS = f"^((?:[A-Za-z]{{2,20}}[ \t]{{1,3}}){{0,2}}?)(?:([A-Za-z0-9_.-]+){_SIGN})?[\"']?([^{_WHITE}]*?)[\"']?$"
 FEATURES = ("length", "digits", "letters", "changes", "pairs", "dictionary", "path", "secret_name", "plain_name", "issued", "hexadecimal", "upper", "marks", "standin", "secret_near", "plain_near")
 
@@ -209,7 +209,7 @@ def _tree(x: np.ndarray, y: np.ndarray, r: np.random.Generator, depth: int):
     if depth == 0 or share in (0.0, 1.0) or len(y) < 10:
         return share
     best = None
-    for f in r.choice(x.shape[1], 4, replace=False):
+    for f in r.choice(x.shape[1], 7, replace=False):
         for cut in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 19))):
             left = x[:, f] <= cut
             k = left.sum()
