@@ -13,23 +13,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one beside the warehouse."""
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one beside
+    the warehouse. On a cluster that must not be on one machine's disk."""
     setting = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return setting or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if setting:
+        return setting
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if not spark.sparkContext.master.startswith("local") and base.split(":")[0] in ("file", base):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base
+
+
+#: Folders that saved() has made and nobody has removed.
+_made: list[str] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it again.
 
     Unlike localCheckpoint it survives lost executors. The folder belongs to the
-    session: the cluster's owner clears spark.checkpoint.dir as for checkpoint().
+    session: the cluster's owner clears spark.checkpoint.dir as for checkpoint(), or
+    remove() does.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """Folders of saved tables that still exist."""
+    return list(_made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes saved tables that nothing will read any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
+
+
 def remainder(column, n: int):
     """crc32 of the column as text, modulo n; null ids count as the text 'null'."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")), F.lit(n))

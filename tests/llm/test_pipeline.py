@@ -69,12 +69,38 @@ def test_pipeline_against_brute_force(spark, corpus):
 
 def test_stages_keep_columns_that_clash(spark, corpus):
     d, rows, _ = corpus
-    own = [(i, f"plain text number {i} of some words", "x", 3, "mine", 0.5, "k") for i in range(200, 204)]
-    docs = spark.createDataFrame(own, "doc_id long, text string, source string, n_words int, secrets string, score double, node string")
+    own = [(i, f"plain text number {i} of some words", "x", 3, "mine", 0.5, "k", 7) for i in range(200, 204)]
+    names = ["doc_id", "text", "source", "n_words", "secrets", "score", "node", "n_tokens"]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string, n_words int, secrets string, score double, node string, n_tokens int")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, d)
-        assert docs.columns == ["doc_id", "text", "source", "n_words", "secrets", "score", "node"]
+        assert docs.columns == names
         assert sorted(map(tuple, docs.collect())) == sorted(own)
+    docs = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    assert docs.columns == [*names[:-1], "input_n_tokens", "token_ids", "n_tokens"]
+    assert sorted(tuple(r)[:8] for r in docs.collect()) == sorted(own) and all(r.n_tokens == len(r.token_ids) > 0 for r in docs.collect())
+
+
+def test_texts_that_share_an_id_stay(spark, corpus):
+    rows = [(1, "one text of some words here", "a"), (1, "quite another text with words", "b"), (1, "one text of some words here", "c"), (2, "one text of some words here", "d"), (3, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.stage_ngram_join(spark, docs, corpus[0]).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.text) == [(1, "one text of some words here"), (1, "quite another text with words")] and len(got) == 3
+
+
+def test_run_removes_its_tables(spark, corpus):
+    from scriptorium.llm._spark import made
+
+    before = len(made())
+    corpus_pipeline.run(spark, corpus[0]).count()
+    assert len(made()) - before <= 2
+
+
+def test_stages_take_very_long_texts(spark, corpus):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300_000)), "en", "s", 0)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, corpus[0])
+    assert docs.first().n_tokens > 300_000
 
 
 def test_stages_take_empty_tables(spark, corpus):
