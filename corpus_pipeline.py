@@ -9,10 +9,15 @@ ngram_join         of documents linked by 5-word shingles (similarity of 0.8 or
                    more, directly or over others) the one with the least doc_id stays
 decontamination    documents contaminated with benchmark windows go
 secrets            secrets in texts are masked, n_chars follows the text
-sentencepiece      token_ids and n_tokens are added
-
-Documents with a null doc_id are linked with nothing and stay. Of rows that share
-a doc_id one stays, that with the least text (null last). Null texts stay null.
+sentencepiece      token_ids and n_tokens are added; columns of these names stay as
+                   input_token_ids and input_n_tokens
+
+Documents with a null doc_id are linked with nothing and stay. Rows that share a
+doc_id are one node of the join; of those with one text one row stays, and rows with
+other texts stay beside it, as they are no copies. Null texts stay null. Empty tables
+give empty ones; very long texts are handled whole. Null labels and items count as
+none; so toxicity without labels of both kinds lets all documents pass. run() removes a stage's own tables and its
+input once its result has been written.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, ngram_join, pieces, secrets, toxicity
-from scriptorium.llm._spark import remainder, saved, table
+from scriptorium.llm._spark import made, remainder, remove, saved, table
 
 #: SentencePiece, random forests and recurrent networks are beyond SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
@@ -52,7 +57,8 @@ def stage_ngram_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept
     few = repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     again = F.broadcast(repeated) if few else repeated
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), F.col("text"))).alias("row"))
+    order = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
 
 
@@ -75,8 +81,12 @@ def stage_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_sentencepiece(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = docs.drop("token_ids", "n_tokens", "decoded_ok")
-    return pieces.encode(kept, pieces.vocabulary()).drop("decoded_ok")
+    own = {"token_ids", "n_tokens", "decoded_ok"}
+    if not {c.lower() for c in docs.columns} & own:
+        return pieces.encode(docs, pieces.vocabulary()).drop("decoded_ok")
+    coded = pieces.encode(docs.select(F.struct("*").alias("__row"), "text"), pieces.vocabulary())
+    kept = [F.col(f"__row.{c}").alias(c if c.lower() not in own else f"input_{c}") for c in docs.columns]
+    return coded.select(*kept, "token_ids", "n_tokens")
 
 
 STAGES = [
@@ -90,8 +100,11 @@ STAGES = [
 
 def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    old = set(made())
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = saved(docs)
+            *gone, _ = [p for p in made() if p not in old]  # the last one is this stage's result
+            remove(spark, gone)
     return docs
