@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .translit import nfd
 
@@ -52,21 +56,70 @@ def html_to_plain(text: Column) -> Column:
     return _squeeze(entities(F.regexp_replace(F.regexp_replace(text, "<br\\s*/?\\s*>", "\n"), "<[^>]+>", "")))
 
 
-#: Ordered passes over wikitext: pattern, replacement. Fixed values.
-WIKITEXT = [
-    ("(?s)<!--.*?-->", ""), ("(?s)<ref[^>]*>.*?</ref>", ""), ("<ref[^/]*/\\s*>", ""), ("<br\\s*/?\\s*>", "\n"), ("<[^>]+>", ""),
-    *[("\\{\\{[^{}]*\\}\\}", "")] * 4, ("(?s)\\{\\|.*?\\|\\}", ""), ("(?m)^\\s*[|!].*$", ""), ("\\[\\[[^\\]]*?:[^\\]]*?\\]\\]", ""),
-    ("\\[\\[[^\\]]*?\\|([^\\]]*?)\\]\\]", "$1"), ("\\[\\[([^\\]]*?)\\]\\]", "$1"), ("\\[https?://[^\\s\\]]*\\s+([^\\]]*)\\]", "$1"), ("\\[https?://[^\\]]*\\]", ""),
-    ("'{2,5}", ""), ("__[A-Z]+__", ""), ("(?m)^(=+)\\s*(.*?)\\s*\\1\\s*$", "$2"), ("(?m)^[*#:;]+\\s*", ""),
-]
+#: What the scanner of wikitext stops at; everything between is text.
+MARKUP = re.compile(r"(?P<comment><!--)|(?P<tag></?[A-Za-z][^<>]*>)|(?P<open>\{\{|\{\||\[\[|\[(?=https?://))|(?P<close>\}\}|\|\}|\]\]|\])|(?P<quotes>'{2,})|(?P<switch>__[A-Z]+__)")
+PAIRS = {"{{": "}}", "{|": "|}", "[[": "]]", "[": "]"}
+HEADING = re.compile(r"(={1,6})\s*(.*?)\s*\1\s*")
+
+
+def _shown(opener: str, inside: str) -> str:
+    """What a reader sees of a closed construct: nothing of templates, tables and links
+    into a namespace, the label of other links."""
+    if opener in ("{{", "{|"):
+        return ""
+    if opener == "[[":
+        return "" if ":" in inside.split("|", 1)[0] else inside.rsplit("|", 1)[-1]
+    return (inside.split(None, 1) + ["", ""])[1]
+
+
+def plain_wikitext(source: str) -> str:
+    """The text a reader sees, in one scan with a stack of open constructs. One that is
+    never closed is text, and so is a close without its opener."""
+    if source.lstrip()[:9].upper() == "#REDIRECT":
+        return ""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    at = 0
+    while m := MARKUP.search(source, at):
+        stack[-1][1].append(source[at : m.start()])
+        at, kind, mark = m.end(), m.lastgroup, m[0]
+        if kind == "comment":
+            end = source.find("-->", at)
+            at = len(source) if end < 0 else end + 3
+        elif kind == "tag":
+            name = re.match(r"</?([A-Za-z]+)", mark)[1].lower()
+            if name == "br":
+                stack[-1][1].append("\n")
+            elif name == "ref" and mark[1] != "/" and not mark.endswith("/>"):
+                end = source.find("</ref>", at)
+                at = at if end < 0 else end + 6
+        elif kind == "open":
+            stack.append((mark, []))
+        elif kind == "close":
+            if PAIRS.get(stack[-1][0]) != mark and mark == "]]" and stack[-1][0] == "[":
+                at, mark = at - 1, "]"
+            if PAIRS.get(stack[-1][0]) == mark:
+                opener, inside = stack.pop()
+                stack[-1][1].append(_shown(opener, "".join(inside)))
+            else:
+                stack[-1][1].append(mark)
+    stack[-1][1].append(source[at:])
+    out = []
+    for line in "".join(opener + "".join(parts) for opener, parts in stack).split("\n"):
+        if line.lstrip()[:1] in ("|", "!"):
+            line = ""  # left over of a table
+        heading = HEADING.fullmatch(line)
+        out.append(heading[2] if heading else line.lstrip("*#:;").lstrip() if line[:1] in ("*", "#", ":", ";") else line)
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def _plain_wikitext(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else plain_wikitext(t) for t in text], dtype=object)
 
 
 def strip_wikitext(text: Column) -> Column:
-    """Plain text of wikitext; a redirect is empty."""
-    out = text
-    for pattern, to in WIKITEXT:
-        out = F.regexp_replace(out, pattern, to)
-    return F.when(F.upper(F.ltrim(text)).startswith("#REDIRECT"), "").otherwise(_squeeze(entities(out)))
+    """Plain text of wikitext; a redirect is empty. Templates nest to any depth."""
+    return _squeeze(entities(_plain_wikitext(text)))
 
 
 def clean_generation(text: Column) -> Column:
