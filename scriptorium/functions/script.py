@@ -5,8 +5,15 @@ Code point ranges are fixed values of Unicode and of the detectors.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from . import _vector
 
 NKO = r"[\x{07C0}-\x{07FF}]"
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}]"
@@ -24,6 +31,35 @@ NKO_MARK = r"[\x{07EB}-\x{07EF}\x{07F2}\x{07F3}]"
 NKO_DIGITS = "߀߁߂߃߄߅߆߇߈߉"
 
 
+#: Classes of characters that are counted together. Fixed values.
+CLASSES = {"nko": NKO, "arabic": ARABIC, "arabic_narrow": ARABIC_NARROW, "latin": LATIN, "latin_ascii": LATIN_ASCII, "white": r"[\x{0009}-\x{000D}\x{0020}]"}
+
+
+def ranges(pattern: str) -> list[tuple[int, int]]:
+    """Code point ranges of a class pattern of this module."""
+    one = r"(?:\\x\{([0-9A-F]+)\}|([A-Za-z]))"
+    spans = re.findall(f"{one}(?:-{one})?", pattern)
+    return [(int(a, 16) if a else ord(b), int(c, 16) if c else ord(d) if d else int(a, 16) if a else ord(b)) for a, b, c, d in spans]
+
+
+_TABLES = [_vector.lookup(ranges(p)) for p in CLASSES.values()]
+
+
+@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in [*CLASSES, "length"]]))
+def _counts(text: pd.Series) -> pd.DataFrame:
+    out = np.zeros((len(text), len(CLASSES) + 1), np.int32)
+    for a, b, codes, bounds in _vector.segments(text):
+        for i, table in enumerate(_TABLES):
+            out[a:b, i] = _vector.sums(_vector.member(table, codes), bounds)
+        out[a:b, -1] = np.diff(bounds)
+    return pd.DataFrame(out, columns=[*CLASSES, "length"])
+
+
+def counts(text: Column) -> Column:
+    """struct of the numbers of characters in each of CLASSES, and of all; one pass over the text. Null counts as empty."""
+    return _counts(text)
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -35,13 +71,15 @@ def has_nko(text: Column) -> Column:
 
 def detect_vote(text: Column) -> Column:
     """The script with most characters; ties go to nko, then arabic; none is latin."""
-    n, a, l = count(text, NKO), count(text, ARABIC), count(text, LATIN)
-    return F.when(n + a + l == 0, "latin").when((n >= a) & (n >= l), "nko").when(a >= l, "arabic").otherwise("latin")
+    c = counts(text)
+    n, a, l = c["nko"], c["arabic"], c["latin"]
+    return F.when(text.isNull() | (n + a + l == 0), "latin").when((n >= a) & (n >= l), "nko").when(a >= l, "arabic").otherwise("latin")
 
 
 def detect_mixed(text: Column) -> Column:
     """As a vote over ASCII Latin, but ``mixed`` where the largest share is under 0.6 of more than two characters."""
-    n, a, l = count(text, NKO), count(text, ARABIC_NARROW), count(text, LATIN_ASCII)
+    c = counts(text)
+    n, a, l = c["nko"], c["arabic_narrow"], c["latin_ascii"]
     total, top = n + a + l, F.greatest(n, a, l)
     best = F.when(n == top, "nko").when(a == top, "arabic").otherwise("latin")
     return F.when(total == 0, "latin").when((total > 2) & (top / total < 0.6), "mixed").otherwise(best)
@@ -55,8 +93,9 @@ def detect_first(text: Column) -> Column:
 
 def composition(text: Column) -> Column:
     """Counts of characters by script; other is neither script nor white space."""
-    n, a, l = count(text, NKO), count(text, ARABIC_NARROW), count(text, LATIN_ASCII)
-    return F.struct(n.alias("nko"), a.alias("arabic"), l.alias("latin"), (count(text, r"\S") - n - a - l).alias("other"))
+    c = counts(text)
+    n, a, l = c["nko"], c["arabic_narrow"], c["latin_ascii"]
+    return F.struct(n.alias("nko"), a.alias("arabic"), l.alias("latin"), (c["length"] - c["white"] - n - a - l).alias("other"))
 
 
 def purity_of_letters(text: Column) -> Column:
@@ -67,8 +106,9 @@ def purity_of_letters(text: Column) -> Column:
 
 def purity_of_visible(text: Column) -> Column:
     """Share of the script among characters that are not white space; 0 without any."""
-    seen = count(text, r"\S")
-    return F.when(seen > 0, count(text, NKO) / seen).otherwise(F.lit(0.0))
+    c = counts(text)
+    seen = c["length"] - c["white"]
+    return F.when(seen > 0, c["nko"] / seen).otherwise(F.lit(0.0))
 
 
 def only_nko(text: Column) -> Column:

@@ -1,17 +1,22 @@
 """Transliteration over IPA as column expressions.
 
-A greedy longest-match tokenizer is one regular expression: an alternation of the
-table's keys, longest first, then any character. Tokens are mapped through a
-literal map, so no Python worker is needed.
+A table is applied greedily from the left, longest key first. Catalyst has no such
+expression: regular expressions that cut texts into arrays of tokens, looked up one by
+one, take ten times as long as an Arrow function. There, keys of several characters
+become single private characters in one pass of a compiled pattern, and one
+``str.translate`` maps all characters.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import script
 
@@ -83,40 +88,69 @@ def tokens(text: Column, keys) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(keys)), F.lit(1))
 
 
-def _class(chars) -> str:
-    return "".join(f"\\x{{{ord(c):04X}}}" for c in sorted(chars))
+#: Private characters that stand for keys of several characters.
+_PRIVATE = 0xF0000
 
 
-def substitute(text: Column, d: dict) -> Column:
-    """Each token that is a key replaced by its value, greedily from the left.
+@lru_cache(maxsize=None)
+def _compiled(items: tuple[tuple[str, str], ...]):
+    """A function of a text that applies a table."""
+    long = sorted((k for k, _ in items if len(k) > 1), key=lambda k: (-len(k), k))
+    table = dict(items)
+    codes = {k: chr(_PRIVATE + i) for i, k in enumerate(long)}
+    mapped = str.maketrans({k: v for k, v in items if len(k) == 1} | {codes[k]: table[k] for k in long})
+    if not long:
+        return lambda t: t.translate(mapped)
+    found = re.compile("|".join(map(re.escape, long)))
+    private = re.compile(f"[{chr(_PRIVATE)}-{chr(_PRIVATE + len(long))}]")
+    whole = re.compile(pattern(table), re.S)
 
-    Keys and values of one character go through translate(), run by run. Only what begins a
-    longer key, or has a value of another length, is a token of its own, looked up in a
-    small map; without such keys the whole is one translate()."""
-    plain = {k: v for k, v in d.items() if len(k) == len(v) == 1 and k != v}
-    special = {k: v for k, v in d.items() if len(k) > 1 or len(v) != 1}
-    source, target = "".join(plain), "".join(plain.values())
+    def apply(t: str) -> str:
+        if private.search(t):  # the text has such characters of its own
+            return whole.sub(lambda m: table.get(m[0], m[0]), t)
+        return found.sub(lambda m: codes[m[0]], t).translate(mapped)
 
-    def simple(t: Column) -> Column:
-        return F.translate(t, source, target) if plain else t
+    return apply
 
-    if not special:
-        return simple(text)
-    long = sorted((k for k in special if len(k) > 1), key=lambda k: (-len(k), k))
-    alone = _class({k[0] for k in special})
-    parts = [*(re.escape(k) for k in long), f"[{alone}]", f"[^{alone}]+"]
-    m = as_map(special)
-    found = F.regexp_extract_all(text, F.lit("(?s)(" + "|".join(parts) + ")"), F.lit(1))
-    return F.array_join(F.transform(found, lambda t: F.coalesce(F.try_element_at(m, t), simple(t))), "")
+
+def apply(text: str | None, *tables: dict[str, str]) -> str | None:
+    """A text with each table applied in turn."""
+    for d in tables if text else ():
+        text = _compiled(tuple(d.items()))(text)
+    return text
+
+
+def _function(*tables: dict[str, str]):
+    keys = [tuple(d.items()) for d in tables]
+
+    @F.pandas_udf(StringType())
+    def substituted(text: pd.Series) -> pd.Series:
+        steps = [_compiled(k) for k in keys]
+
+        def one(t):
+            if t is None:
+                return None
+            for step in steps:
+                t = step(t)
+            return t
+
+        return pd.Series([one(t) for t in text], dtype=object)
+
+    return substituted
+
+
+def substitute(text: Column, *tables: dict[str, str]) -> Column:
+    """Each token that is a key replaced by its value, greedily from the left; tables in turn."""
+    return _function(*tables)(text)
 
 
 def nfd(text: Column) -> Column:
     """Canonical decomposition of precomposed Latin letters."""
-    return F.when(text.rlike(r"[\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}]"), substitute(text, NFD)).otherwise(text)
+    return substitute(text, NFD)
 
 
 def latin_to_ipa(text: Column) -> Column:
-    return substitute(nfd(F.lower(text)), LATIN_TO_IPA)
+    return substitute(F.lower(text), NFD, LATIN_TO_IPA)
 
 
 def nko_to_ipa(text: Column) -> Column:
@@ -127,8 +161,18 @@ def arabic_to_ipa(text: Column) -> Column:
     return substitute(text, ARABIC_TO_IPA)
 
 
+@F.pandas_udf(StringType())
+def _to_ipa(text: pd.Series, low: pd.Series, source: pd.Series) -> pd.Series:
+    def one(t, lower, src):
+        if src == "nko":
+            return apply(t, NKO_TO_IPA)
+        return apply(t, ARABIC_TO_IPA) if src == "arabic" else apply(lower, NFD, LATIN_TO_IPA)
+
+    return pd.Series([one(*row) for row in zip(text, low, source, strict=True)], dtype=object)
+
+
 def to_ipa(text: Column, source: Column) -> Column:
-    return F.when(source == "nko", nko_to_ipa(text)).when(source == "arabic", arabic_to_ipa(text)).otherwise(latin_to_ipa(text))
+    return _to_ipa(text, F.lower(text), source)
 
 
 def from_ipa(ipa: Column, target: str) -> Column:

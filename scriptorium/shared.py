@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, beside the warehouse."""
-    setting = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = setting or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    """A new folder under spark.checkpoint.dir; where that is unset, beside the warehouse,
+    which on a cluster must not be on one machine's disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        if not spark.sparkContext.master.startswith("local") and base.split(":")[0] in ("file", base):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
