@@ -3,15 +3,17 @@
 Every page is cut into text lines (one for each block of markup). The pages of a
 host are put in the order of their URL paths; each page is compared with the
 neighbour, before or after it, whose path has the longest common beginning. Their
-lines are aligned by a longest common subsequence, and lines that both have in
-common are boilerplate and go. A neighbour that has all of a page's plain lines is
+lines are aligned by a longest common subsequence (lines that markup rules out take no
+part, and lines inside a content container are aligned with such lines), and lines that
+both have in common are boilerplate and go. A neighbour that has all of a page's plain lines is
 a copy and tells nothing; the other one takes its place.
 
 Markup is the second evidence. Inside the page's own content container (article or
-main) pages may carry copies of one article or share passages, so there a line goes
-only if the neighbours on both sides have it in common with the page, and only if
-such lines are fewer than half of the container's: templates repeat on every page, a
-copied article is more than half repeated. Menus, headers, footers, sidebars,
+main) pages may carry copies of one article or share passages, so lines there stay
+though a neighbour has them. With ``inside`` differencing decides there too, with more
+care: only what the neighbours on both sides have in common with the page goes, only at
+the container's beginning and end, where templates are, and only if such lines are fewer
+than half of the container's, as a copied article is more than half repeated. Menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts and styles go by their markup also where
 no neighbour has the same words there.
 
@@ -226,17 +228,20 @@ def _halves(x: np.ndarray, y: np.ndarray) -> list[int]:
 
 def keep(zones: np.ndarray, shared: np.ndarray, both: np.ndarray) -> np.ndarray:
     """Which lines are the article's, from their zones, what the nearest neighbour
-    shares, and what the neighbours on both sides share."""
-    inside = zones == 2
-    template = both & inside
-    if 2 * template.sum() >= inside.sum():
-        template[:] = False  # a copied article
-    return (zones == 1) & ~shared | inside & ~template
+    shares, and what the neighbours on both sides share (for lines in a container)."""
+    inside = np.flatnonzero(zones == 2)
+    own = np.flatnonzero(~both[inside])
+    out = (zones == 1) & ~shared
+    if 2 * len(own) > len(inside):  # else a copied article
+        out[inside[own[0] : own[-1] + 1]] = True
+    else:
+        out[inside] = True
+    return out
 
 
 def _hashes(batch) -> list[list]:
-    found = [lines(source) for source in column(batch, "html").to_pylist()]
-    return [[[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in own] for own in found], [[i for i, (_, z) in enumerate(own) if z == 1] for own in found]]
+    found = [[(t, z) for t, z in lines(source) if z] for source in column(batch, "html").to_pylist()]
+    return [[[xxhash.xxh3_64_intdigest(t, seed=z) - (1 << 63) for t, z in own] for own in found], [[i for i, (_, z) in enumerate(own) if z == 1] for own in found]]
 
 
 def _place(batches):
@@ -307,7 +312,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 def _texts(batch) -> tuple[list[str], list[int]]:
     texts = []
     for source, *found in zip(*(column(batch, c).to_pylist() for c in ("html", "shared", "both")), strict=True):
-        own = lines(source)
+        own = [(t, z) for t, z in lines(source) if z]
         shared, both = np.zeros((2, len(own)), bool)
         shared[found[0] or []] = True
         both[found[1] or []] = True
@@ -316,9 +321,12 @@ def _texts(batch) -> tuple[list[str], list[int]]:
     return texts, [len(t) for t in texts]
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) as (page_id, url, text, n_chars)."""
+def extract(pages: DataFrame, *, inside: bool = False) -> DataFrame:
+    """pages (page_id, url, html) as (page_id, url, text, n_chars). inside: whether
+    templates are also looked for inside content containers."""
     whole = (F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
     rows = pages.select("page_id", "url", F.col("html")).withColumns({"uid": F.xxhash64(*whole), "uid2": F.xxhash64(F.lit(2), *whole)})
     decisions = shared_lines(rows.withColumn("page_id", F.col("page_id").cast("long")))
+    if not inside:
+        decisions = decisions.withColumn("both", F.array().cast("array<int>"))
     return append(rows.join(decisions, ["uid", "uid2"], "left"), _texts, "text string, n_chars long").select("page_id", "url", "text", "n_chars")

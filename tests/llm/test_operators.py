@@ -786,7 +786,7 @@ def test_templates_inside_containers_go(spark):
     def page(i):
         return (i, f"http://h.example/c/{i:03d}", f"<article><p>Our house style.</p><p>Story {i} begins.</p><p>It goes on, {i}.</p><p>And ends {i}.</p><p>Read on tomorrow.</p></article>")
 
-    got = {x.page_id: x.text for x in html_text.extract(documents(spark, [page(i) for i in range(30)], 3, "page_id long, url string, html string")).collect()}
+    got = {x.page_id: x.text for x in html_text.extract(documents(spark, [page(i) for i in range(30)], 3, "page_id long, url string, html string"), inside=True).collect()}
     for i in range(1, 29):
         assert got[i] == f"Story {i} begins.\n\nIt goes on, {i}.\n\nAnd ends {i}."
     own = html_text.lines(page(4)[2])
@@ -794,7 +794,7 @@ def test_templates_inside_containers_go(spark):
     assert off.all()
 
 
-def brute_pages(rows):
+def brute_pages(rows, look_inside=False):
     """Texts by sorting all rows of a host and comparing each with both neighbours."""
     from urllib.parse import urlsplit
 
@@ -805,7 +805,7 @@ def brute_pages(rows):
     keyed = sorted(set(rows), key=lambda r: (*place(r), r[0]))
     out = {}
     for k, r in enumerate(keyed):
-        own = html_text.lines(r[2])
+        own = [x for x in html_text.lines(r[2]) if x[1]]
         zones, hits = np.array([z for _, z in own], int), []
         for o in (keyed[k - 1] if k else None, keyed[k + 1] if k + 1 < len(keyed) else None):
             if o is not None and place(r)[0] and place(o)[0] == place(r)[0]:
@@ -813,16 +813,21 @@ def brute_pages(rows):
                 near = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
                 texts = {}
                 number = lambda t, texts=texts: texts.setdefault(t, len(texts))
-                hit = html_text.common(np.array([number(t) for t, _ in own], int), np.array([number(t) for t, _ in html_text.lines(o[2])], int))
+                hit = html_text.common(np.array([number(x) for x in own], int), np.array([number(x) for x in html_text.lines(o[2]) if x[1]], int))
                 copy = bool((zones == 1).any()) and bool(hit[zones == 1].all())
                 hits.append((copy, -near, len(hits), hit))
         shared = np.zeros(len(own), bool)
         if hits:
             copy, _, _, shared = min(hits, key=lambda h: h[:3])
             shared = shared & ~(copy & (zones == 1))
-        both = hits[0][3] & hits[1][3] if len(hits) == 2 else np.zeros(len(own), bool)
-        inside = zones == 2
-        template = both & inside if 2 * (both & inside).sum() < inside.sum() else np.zeros(len(own), bool)
+        both = hits[0][3] & hits[1][3] if len(hits) == 2 and look_inside else np.zeros(len(own), bool)
+        inside, template = np.flatnonzero(zones == 2).tolist(), np.zeros(len(own), bool)
+        if 2 * sum(both[i] for i in inside) < len(inside):
+            for run in (inside, inside[::-1]):
+                for i in run:
+                    if not both[i]:
+                        break
+                    template[i] = True
         out[r] = "\n\n".join(t for (t, z), a, b in zip(own, shared, template) if (z == 1 and not a) or (z == 2 and not b))
     return out
 
@@ -836,12 +841,21 @@ def test_pages_against_brute_force(spark):
         inner = "".join(f"<p>{r.choice(['Template.', f'Inside {i} {k}.', f'Inside {i // 3} {k}.'])}</p>" for k in range(r.randint(0, 6)))
         rows.append((i, r.choice([None, f"http://{host}/x/{r.randint(0, 60):02d}", f"https://{host}/x/{i % 7}/{i}?q=1"]), "".join(body) + (f"<article>{inner}</article>" if r.random() < 0.6 else "") + "<div>Below</div>"))
     rows += [(500, "http://a.example/x/1", None), (501, "http://a.example/x/1", ""), rows[3], rows[3]]
-    want = brute_pages(rows)
-    got = html_text.extract(documents(spark, rows, 5, "page_id long, url string, html string")).collect()
-    assert len(got) == len(rows)
-    for x in got:
-        r_ = next(q for q in rows if q[0] == x.page_id)
-        assert (x.text, x.n_chars) == (want[r_], len(want[r_]))
+    for inside in (False, True):
+        want = brute_pages(rows, inside)
+        got = html_text.extract(documents(spark, rows, 5, "page_id long, url string, html string"), inside=inside).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            r_ = next(q for q in rows if q[0] == x.page_id)
+            assert (x.text, x.n_chars) == (want[r_], len(want[r_]))
+
+
+def test_differencing_decides_where_no_container_is(spark):
+    """Switched off, most of these pages are different."""
+    rows = [(i, f"http://h/{i:02d}", f"<div>Our menu</div><div>Story {i}.</div><p>More, {i}.</p><div>All rights</div>") for i in range(20)]
+    got = {x.page_id: x.text for x in html_text.extract(documents(spark, rows, 3, "page_id long, url string, html string")).collect()}
+    off = {i: "\n\n".join(t for t, z in html_text.lines(h) if z) for i, _, h in rows}
+    assert sum(got[i] != off[i] for i in got) == 20 and got[7] == "Story 7.\n\nMore, 7."
 
 
 def test_pages_with_very_many_lines_and_clashing_columns(spark):
