@@ -132,6 +132,38 @@ def strip_fence(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^```[a-z]*\\s*", ""), "\\s*```$", ""))
 
 
+def only_native(text: Column) -> Column:
+    """The script's characters, spaces and line ends of a text, less marks of emphasis and a leading label."""
+    bare = F.trim(F.regexp_replace(text, "[*`]+", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "^(?:NKO ?:|nko:)", ""), "[^\\x{07C0}-\\x{07FF} \n]", ""), "^[ \n]+|[ \n]+$", "")
+
+
+#: What an answer holds, with a place for text that is no JSON.
+ANSWER = "slide_title string, has_nko boolean, sections array<struct<type: string, nko_text: string, latin_text: string>>, reading_order array<int>, _bad string"
+
+
+def ocr(raw: Column, least: int = 3) -> Column:
+    """struct(structured, slide_title, sections, reading_order, has_nko, cleaned, nko_chars) of
+    a service's answer: JSON, fenced or not, or flat text. Sections without the script go."""
+    inside = strip_fence(raw)
+    found = F.from_json(inside, ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    structured = F.coalesce(found["_bad"].isNull() & inside.startswith("{"), F.lit(False))
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    parsed = F.transform(F.coalesce(found["sections"], F.array()), lambda s: F.struct(F.coalesce(s["type"], F.lit("vocabulary")).alias("type"), only_native(F.coalesce(s["nko_text"], F.lit(""))).alias("nko_text"), some(s["latin_text"]).alias("latin_text")))
+    flat = F.array(F.struct(F.lit("vocabulary").alias("type"), only_native(raw).alias("nko_text"), F.lit(None).cast("string").alias("latin_text")))
+    sections = F.filter(F.when(structured, parsed).otherwise(flat), lambda s: s["nko_text"] != "")
+    n = F.size(sections)
+    order = F.filter(F.when(structured, F.coalesce(found["reading_order"], F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")), lambda i: i < n)
+    every = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    cleaned = F.array_join(F.transform(sections, lambda s: s["nko_text"]), " ")
+    chars = F.length(F.regexp_replace(cleaned, "[^\\x{07C0}-\\x{07FF}]", ""))
+    claimed = F.when(structured, F.coalesce(found["has_nko"], F.lit(False))).otherwise(F.lit(True))
+    return F.struct(
+        structured.alias("structured"), F.when(structured, some(found["slide_title"])).alias("slide_title"), sections.alias("sections"), F.when(F.size(order) > 0, order).otherwise(every).alias("reading_order"),
+        (claimed & (chars >= least)).alias("has_nko"), cleaned.alias("cleaned"), chars.alias("nko_chars"),
+    )
+
+
 def candidates(text: Column) -> Column:
     """Words that may be vocabulary: runs of the script, words with Manding letters, quoted spans."""
     letters = "a-zA-ZɛɔɲŋÈÉÊËèéêëÒÓÔÕòóôõ"

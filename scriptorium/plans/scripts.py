@@ -109,6 +109,32 @@ def all_syllable_frequencies(spark, d):
     return native(spark, d).select(F.explode(fsm.syllables(F.col("t"))).alias("syllable")).groupBy("syllable").agg(F.count("*").alias("n"))
 
 
+_IS = {k: f"regexp_matches(x.c, {quoted(p)})" for k, p in (("c", script.NKO_CONSONANT), ("v", script.NKO_VOWEL), ("m", script.NKO_MARK), ("n", script.NKO_NASAL))}
+_SPOKEN = "ߒߞߏ ߞߊ߲ߓߟ ߝߐ߫abߕ ߘ"
+_CLOSED = "list_append(s.o, {'r': s.r, 'f': s.f / s.k, 'v': s.v})"
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey, string_split(substr({quoted(_SPOKEN)} || {quoted(_SPOKEN)}, 1 + p_partkey % 7, 6 + p_partkey % 9), '') AS c FROM part),
+  b AS (SELECT p_partkey, list_transform(c, lambda x, i: {{'c': x, 'p': ((i * 37 + p_partkey) % 100) / 100.0::DOUBLE}}) AS c FROM a),
+  e AS (SELECT p_partkey, list_reduce(list_append(c, {{'c': '$', 'p': 0.0::DOUBLE}}), lambda s, x:
+    CASE WHEN x.c = '$' THEN {{'o': CASE WHEN s.r <> '' THEN {_CLOSED} ELSE s.o END, 'r': '', 'f': 0.0::DOUBLE, 'k': 0, 'v': false}}
+      WHEN x.c = ' ' THEN {{'o': list_append(CASE WHEN s.v THEN {_CLOSED} ELSE s.o END, {{'r': ' ', 'f': 0.0::DOUBLE, 'v': true}}), 'r': '', 'f': 0.0::DOUBLE, 'k': 0, 'v': false}}
+      WHEN {_IS["c"]} AND s.v THEN {{'o': {_CLOSED}, 'r': x.c, 'f': x.p, 'k': 1, 'v': false}}
+      WHEN {_IS["n"]} THEN {{'o': list_append(s.o, {{'r': s.r || x.c, 'f': (s.f + x.p) / (s.k + 1), 'v': s.v}}), 'r': '', 'f': 0.0::DOUBLE, 'k': 0, 'v': false}}
+      WHEN {_IS["c"]} OR {_IS["v"]} OR {_IS["m"]} THEN {{'o': s.o, 'r': s.r || x.c, 'f': s.f + x.p, 'k': s.k + 1, 'v': s.v OR {_IS["v"]}}} ELSE s END,
+    {{'o': []::STRUCT(r VARCHAR, f DOUBLE, v BOOLEAN)[], 'r': '', 'f': 0.0::DOUBLE, 'k': 0, 'v': false}}) AS s FROM b)
+  SELECT p_partkey, place, y.r AS raw, round(y.f, 9) AS confidence, y.v AS valid FROM (SELECT p_partkey, unnest(s.o) AS y, generate_subscripts(s.o, 1) - 1 AS place FROM e)"""
+)
+def syllable_confidences(spark, d):
+    """WN08: syllables of decoded characters with their mean confidence."""
+    p = F.col("p_partkey")
+    c = table(spark, d, "part").select("p_partkey", F.split(F.substring(F.lit(_SPOKEN * 2), (p % 7 + 1).cast("int"), (p % 9 + 6).cast("int")), "").alias("c"))
+    c = c.withColumn("f", F.transform("c", lambda _, i: ((i + 1) * 37 + p) % 100 / 100.0))
+    s = c.select("p_partkey", F.posexplode(fsm.spoken_syllables("c", "f")).alias("place", "s"))
+    return s.select("p_partkey", F.col("place").cast("long").alias("place"), F.col("s.raw").alias("raw"), F.round("s.confidence", 9).alias("confidence"), F.col("s.valid").alias("valid"))
+
+
 @query(
     f"""SELECT doc_id, md5(regexp_replace(t, {quoted(script.NKO_TONE)}, '', 'g')) AS toneless, {n("t", script.NKO_TONE)} AS tones,
   md5(array_to_string(regexp_extract_all(t, {quoted(script.NKO_TONE)}), '')) AS pattern FROM ({NATIVE})"""

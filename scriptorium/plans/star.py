@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dedup, lookup, morphology
-from ._base import query, table
+from ._base import query, quoted, sql_map, table
 
 
 @query(
@@ -158,16 +158,45 @@ def word_decomposition(spark, d):
     return w.select("w", morphology.decompose(F.col("w")).alias("m"), morphology.noun_class(F.col("w")).alias("noun_class")).select("w", "m.*", "noun_class")
 
 
-ROOTS = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "ed", "ing", "tion", "ly", "ou", "ha", "st", "sh", "wh", "nt", "ble", "ea"]
-_R = "|".join(sorted(ROOTS, key=lambda x: (-len(x), x)))
+_GLOSS = sql_map({k: v[0] for k, v in morphology.COMPOUND_ROOTS.items()})
+_KIND = sql_map({k: v[1] for k, v in morphology.COMPOUND_ROOTS.items()})
+_KNOWN = [sql_map({k: v[i] for k, v in morphology.KNOWN_COMPOUNDS.items()}) for i in range(3)]
+_R = morphology.ROOT_PATTERN
+_DIMS = f"r AS (SELECT unnest(map_keys({_GLOSS})) AS root, unnest(map_values({_GLOSS})) AS gloss, unnest(map_values({_KIND})) AS kind)"
+_ALL_WORDS = f"WITH {_DIMS}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents UNION SELECT a.root || b.root FROM r a, r b UNION SELECT unnest(map_keys({_KNOWN[0]})))"
 
 
-@query(f"SELECT w, array_to_string(p, '+') AS parts, p[-1] AS head FROM (SELECT w, regexp_extract_all(w, '{_R}') AS p FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en')) WHERE len(p) >= 2 AND array_to_string(p, '') = w")
+@query(
+    f"""{_ALL_WORDS}, p AS (SELECT w, regexp_extract(w, '^((?:{_R})*)', 1) AS taken, {_KNOWN[0]}[w] AS kp, {_KNOWN[1]}[w] AS km, {_KNOWN[2]}[w] AS kh FROM w),
+  q AS (SELECT *, regexp_extract_all(taken, '({_R})') AS roots FROM p),
+  s AS (SELECT *, CASE WHEN len(roots) = 0 THEN []::VARCHAR[] WHEN length(taken) = length(w) THEN roots ELSE list_append(roots, w[length(taken) + 1:]) END AS parts FROM q),
+  t AS (SELECT *, array_to_string(list_transform(CASE WHEN kp IS NOT NULL THEN string_split(kp, '+') ELSE parts END, lambda x: coalesce({_GLOSS}[x], '?')), '-') AS literal FROM s WHERE kp IS NOT NULL OR len(parts) >= 2)
+  SELECT w, coalesce(kp, array_to_string(parts, '+')) AS parts, CASE WHEN kp IS NOT NULL THEN kh ELSE list_filter(roots, lambda x: {_KIND}[x] = 'noun')[-1] END AS head, literal, coalesce(km, '(' || literal || ')') AS meaning, CASE WHEN kp IS NOT NULL THEN 1.0::DOUBLE ELSE 0.7 END AS confidence FROM t"""
+)
 def word_compounds(spark, d):
-    """MOR07."""
-    w = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).distinct()
-    c = w.withColumn("p", morphology.compound(F.col("w"), ROOTS)).where("size(p) >= 2")
-    return c.select("w", F.array_join("p", "+").alias("parts"), F.element_at("p", -1).alias("head"))
+    """MOR07: known and greedily split compounds among all words and all pairs of roots."""
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
+    known = spark.createDataFrame([(k,) for k in morphology.KNOWN_COMPOUNDS], "w string")
+    w = w.union(morphology.generated(spark).select("word")).union(known).distinct()
+    return w.select("w", morphology.compound(F.col("w")).alias("c")).where("c is not null").select("w", "c.*")
+
+
+@query(f"WITH {_DIMS} SELECT a.root AS first, b.root AS second, a.root || b.root AS word, a.gloss || '-' || b.gloss AS literal, CASE WHEN a.kind || '-' || b.kind IN ('noun-verb', 'verb-noun', 'adj-noun', 'noun-adj', 'verb-verb') THEN a.kind || '-' || b.kind ELSE 'noun-noun' END AS kind, 0.5::DOUBLE AS confidence FROM r a, r b WHERE a.root = 'so' OR b.root = 'so'")
+def compounds_with_root(spark, d):
+    """MOR07: hypothetical compounds that hold a root."""
+    return morphology.generated(spark).where("first = 'so' OR second = 'so'")
+
+
+_AFFIXES = ", ".join(f"({quoted(k)}, {quoted(v[0])}, {quoted(v[2])}, {quoted(v[3])})" for k, v in morphology.affix_forms().items())
+
+
+@query(f"SELECT form, kind, latin, gloss, count(*) AS n FROM (SELECT regexp_extract(w, '.{{1,4}}$') AS e FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS w FROM documents) UNION ALL SELECT unnest(['ߟߎ', 'ߟߊ', 'ߞߊ߲', 'LA', 'ߓߟߏ'])) JOIN (VALUES {_AFFIXES}) v(form, kind, latin, gloss) ON form = lower(e) GROUP BY form, kind, latin, gloss")
+def affix_lookup(spark, d):
+    """MOR08: the affix that a form stands for, in either script: words' last letters and some forms of the script."""
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), F.lit(1))).alias("w"))
+    e = w.select(F.regexp_extract("w", ".{1,4}$", 0).alias("e")).union(spark.createDataFrame([(x,) for x in ("ߟߎ", "ߟߊ", "ߞߊ߲", "LA", "ߓߟߏ")], "e string"))
+    found = e.groupBy("e").agg(F.count("*").alias("k")).select(F.lower("e").alias("form"), "k", morphology.affix(F.col("e")).alias("a")).where("a.kind is not null")
+    return found.groupBy("form", "a.kind", "a.latin", "a.gloss").agg(F.sum("k").alias("n"))
 
 
 @query()

@@ -3,6 +3,8 @@ pruned and filters pushed down; nothing is opened on the driver."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def json_items(spark: SparkSession, path: str, schema: str, items: str) -> DataF
 
 def json_map(spark: SparkSession, path: str, column: str, value: str, key: str = "key") -> DataFrame:
     """Whole-file JSON documents, one row for each entry of their object ``column``; value is a struct's DDL."""
-    m = spark.read.option("multiLine", True).schema(f"{column} map<string, {value}>").json(path)
+    m = spark.read.option("multiLine", True).schema(f"{column} map<string, {value}>").json(path)  # a document is a file
     return m.select(F.explode(column).alias(key, "value")).select(key, "value.*")
 
 
@@ -27,8 +29,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, *, keep_bad: bool =
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stripped lines that are not blank."""
-    return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    """Lines stripped of white space that are not blank."""
+    return spark.read.text(path).select(F.regexp_replace("value", "^\\s+|\\s+$", "").alias("line")).where("line <> ''")
 
 
 def tsv_pairs(spark: SparkSession, path: str, names: tuple[str, str] = ("source", "target")) -> DataFrame:
@@ -39,7 +41,8 @@ def tsv_pairs(spark: SparkSession, path: str, names: tuple[str, str] = ("source"
 
 
 def csv_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema)
+    """A comma-separated table with a header; quotes inside quoted cells are doubled."""
+    return spark.read.csv(path, header=True, schema=schema, escape='"')
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -61,7 +64,7 @@ def aligned(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 def parallel(spark: SparkSession, path: str, keys: tuple[str, ...] = ("nko", "en", "fr")) -> DataFrame:
     """A parallel file by its suffix: .jsonl, .json (array), .tsv (header or none), .txt (tab pairs).
     A column is taken for the first key that its lower-case name contains."""
-    suffix = path.rsplit(".", 1)[-1].lower()
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "jsonl":
         raw = spark.read.json(path)
     elif suffix == "json":
@@ -103,6 +106,45 @@ def filtered(df: DataFrame, equal: dict | None = None, null: tuple = (), not_nul
     return df.limit(limit) if limit is not None else df
 
 
+def settings(spark: SparkSession, path: str | None, base: dict, environment: dict[str, str]) -> dict:
+    """Nested settings: defaults, over them those of a YAML or JSON file (small, read by
+    Spark, so in any store), then ``${NAME:-fallback}`` in texts from the environment's values."""
+    found = base
+    if path is not None:
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).orderBy(F.input_file_name()).collect())
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            import json
+
+            own = json.loads(text or "{}")
+        else:
+            own = yaml.safe_load(text) or {}
+        found = options(base, own)
+
+    def value(v):
+        if isinstance(v, dict):
+            return {k: value(x) for k, x in v.items()}
+        if isinstance(v, str):
+            return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: environment.get(m[1], m[2] or ""), v)
+        return v
+
+    return value(found)
+
+
+def flat(found: dict, prefix: str = "") -> list[tuple[str, str]]:
+    """(dotted name, value) of nested settings, in order of names; lists as JSON."""
+    import json
+
+    out = []
+    for k, v in sorted(found.items()):
+        if isinstance(v, dict):
+            out += flat(v, f"{prefix}{k}.")
+        else:
+            out.append((f"{prefix}{k}", v if isinstance(v, str) else json.dumps(v)))
+    return out
+
+
 def options(base: dict, override: dict) -> dict:
     """Nested settings, override over base."""
     out = dict(base)
