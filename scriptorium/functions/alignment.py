@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,32 +27,86 @@ def lcs_ratio(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([_lcs(a, b) / max(len(a), len(b)) if a or b else 1.0 for a, b in zip(ref.fillna(""), hyp.fillna(""), strict=True)])
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("correct", "substituted", "deleted", "inserted")]))
-def edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """Counts of an optimal alignment of characters; of equal ones substitutions come first, then deletions."""
-    import numpy as np
+def _rows(a: np.ndarray, b: np.ndarray, first: np.ndarray):
+    """Rows of the edit table after ``first``, one for each entry of a."""
+    steps, row = np.arange(len(b) + 1), first
+    for x in a.tolist():
+        new = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        row = np.minimum.accumulate(np.concatenate([[row[0] + 1], new]) - steps) + steps
+        yield row
 
-    out = []
-    for a, b in zip(ref.fillna(""), hyp.fillna(""), strict=True):
-        n, m = len(a), len(b)
-        table = np.zeros((n + 1, m + 1), np.int32)
-        table[:, 0], table[0, :] = range(n + 1), range(m + 1)
-        y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-        steps = np.arange(m + 1)
-        for i in range(1, n + 1):
-            row = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (y != ord(a[i - 1])))
-            row = np.concatenate([[i], row])
-            table[i] = np.minimum.accumulate(row - steps) + steps
-        i, j, c = n, m, [0, 0, 0, 0]
-        while i or j:
-            if i and j and table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-                c[0 if a[i - 1] == b[j - 1] else 1] += 1
+
+def distance(a: list, b: list) -> int:
+    """Edit distance of two lists of any entries; memory is a row of the table."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(v, len(codes)) for v in side], np.int64) for side in (a, b))
+    row = np.arange(len(y) + 1)
+    for row in _rows(x, y, row):
+        pass
+    return int(row[-1])
+
+
+@F.pandas_udf(T.LongType())
+def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Edit distance of word arrays."""
+    return pd.Series([distance(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)])
+
+
+def trace(a: str, b: str):
+    """(operation, place in a, place in b) of an optimal alignment, from the end; of equal
+    ones a match or substitution comes first, then a deletion. Rows of the table are kept at
+    every r-th place only, r about the root of the length, and made again in between."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (a, b))
+    every = max(1, int(len(x) ** 0.5))
+    row = np.arange(len(y) + 1)
+    kept = [row]
+    for i, row in enumerate(_rows(x, y, row), 1):
+        if i % every == 0:
+            kept.append(row)
+    i, j = len(x), len(y)
+    while i or j:
+        base = max(0, (i - 1) // every) * every
+        table = [kept[base // every], *_rows(x[base:i], y, kept[base // every])]
+        while (i > base or i == 0) and (i or j):
+            here = table[i - base][j]
+            if i and j and here == table[i - base - 1][j - 1] + (x[i - 1] != y[j - 1]):
+                yield ("correct" if x[i - 1] == y[j - 1] else "substituted"), i - 1, j - 1
                 i, j = i - 1, j - 1
-            elif i and table[i, j] == table[i - 1, j] + 1:
-                c[2] += 1
+            elif i and here == table[i - base - 1][j] + 1:
+                yield "deleted", i - 1, None
                 i -= 1
             else:
-                c[3] += 1
+                yield "inserted", None, j - 1
                 j -= 1
-        out.append(c)
-    return pd.DataFrame(out, columns=["correct", "substituted", "deleted", "inserted"])
+
+
+EDITS = ("correct", "substituted", "deleted", "inserted")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("class", T.StringType()), *(T.StructField(c, T.LongType()) for c in EDITS)])))
+def class_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Tallies of an optimal alignment by the class of the reference's character (of the
+    other one for insertions), over the script's characters and spaces."""
+    out = []
+    for a, b in zip(ref.fillna(""), hyp.fillna(""), strict=True):
+        a, b = ("".join(c for c in t if c == " " or "\u07c0" <= c <= "\u07ff") for t in (a, b))
+        tally: dict[str, list[int]] = {}
+        for op, i, j in trace(a, b):
+            tally.setdefault(char_class(a[i] if i is not None else b[j]), [0] * 4)[EDITS.index(op)] += 1
+        out.append([(k, *v) for k, v in sorted(tally.items())])
+    return pd.Series(out, dtype=object)
+
+
+def char_class(c: str) -> str:
+    """vowel, consonant, tone, nasal, digit or space; other characters count as vowels."""
+    code = ord(c)
+    if c == " ":
+        return "space"
+    for name, low, high in CLASSES:
+        if low <= code <= high:
+            return name
+    return "vowel"
+
+
+#: Ranges of code points of the classes. Fixed values of Unicode.
+CLASSES = [("consonant", 0x07D1, 0x07EA), ("tone", 0x07EB, 0x07EF), ("nasal", 0x07F2, 0x07F3), ("digit", 0x07C0, 0x07C9)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .alignment import word_distance
 from .clean import words
 from .features import ngrams
 
@@ -17,14 +18,9 @@ def char_error(ref: Column, hyp: Column, clamp: bool = True) -> Column:
 
 
 def word_error(ref: Column, hyp: Column, clamp: bool = True) -> Column:
-    """Word error rate: each different word of the pair becomes one character (from U+3401 on, so a pair may have some 42,000 different words)."""
-    r, h = words(ref), words(hyp)
-    both = F.array_distinct(F.concat(r, h))
-
-    def coded(w):
-        return F.array_join(F.transform(w, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, x) + 0x3400), 4, "0")), "UTF-16BE")), "")
-
-    rate = F.levenshtein(coded(r), coded(h)) / F.size(r)
+    """Word error rate; an empty reference gives 0 or 1."""
+    r, h = words(F.coalesce(ref, F.lit(""))), words(F.coalesce(hyp, F.lit("")))
+    rate = word_distance(r, h) / F.size(r)
     out = F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(rate)
     return F.least(out, F.lit(1.0)) if clamp else out
 

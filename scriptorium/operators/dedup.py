@@ -11,7 +11,7 @@ from ..shared import saved
 def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
     """Of the rows with one key the first in order. An aggregation with map-side
     combining, so a key with a third of all rows is no hot window. Rows are chosen
-    by the key's digest and the order's value; both are narrow."""
+    by the key's digest and the order's value; both are narrow. Rows that tie on both all stay."""
     marked = df.withColumn("__k", F.sha2(F.coalesce(key.cast("string"), F.lit("\x00")), 256))
     first = marked.groupBy("__k").agg(F.min(order).alias("__first"))
     return marked.join(first, (marked["__k"] == first["__k"]) & marked[order].eqNullSafe(first["__first"]), "left_semi").drop("__k")
@@ -21,7 +21,7 @@ def char_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
 
 
-def greedy_clusters(df: DataFrame, text: str, order: str, threshold: float = 0.85, rounds: int = 1000) -> DataFrame:
+def greedy_clusters(df: DataFrame, text: str, order: str, threshold: float = 0.85) -> DataFrame:
     """(text, seed): greedy clusters by the Jaccard similarity of character sets, each text
     compared with seeds only, in first-seen order.
 
@@ -44,7 +44,7 @@ def greedy_clusters(df: DataFrame, text: str, order: str, threshold: float = 0.8
     near = near.join(own.withColumnsRenamed({"ord": "i", "chars": "x"}), "i").join(own.withColumnsRenamed({"ord": "j", "chars": "y"}), "j")
     edges = saved(near.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= threshold).select("i", "j"))
     state = saved(sets.select("ord", F.lit(None).cast("long").alias("seed")))
-    for _ in range(rounds):
+    while True:  # each round settles the first open set in order at least
         open_ = state.where("seed is null").select("ord")
         if not open_.limit(1).count():
             break

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 
 def hash_order(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
@@ -40,3 +42,20 @@ def per_group(df: DataFrame, group: str, n: int, key: str) -> DataFrame:
     """At most n rows of each group, by least hash."""
     w = Window.partitionBy(group).orderBy(hash_order(key), key)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
+def next_in_ring(df: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, other): for each row the next n rows in the order of a hash, the first ones
+    after the last; distinct keys. Rows get their numbers by ranges, with the totals of the
+    ranges before added, and meet by number: nothing is crossed or gathered."""
+    rows = saved(df.select(key).distinct().withColumn("__h", hash_order(key)).repartitionByRange("__h", key).withColumn("__p", F.spark_partition_id()))
+    before, total = [], 0
+    for r in sorted(rows.groupBy("__p").agg(F.count("*").alias("n")).collect()):  # a row for each partition
+        before.append((r[0], total))
+        total += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "__p int, __b long"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key)) - 1
+    numbered = saved(rows.withColumn("__o", own).join(offsets, "__p").select(key, (F.col("__o") + F.col("__b")).alias("__r")))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    asked = numbered.select(F.col(key), steps.alias("__s"), "__r").select(key, F.pmod(F.col("__r") + F.col("__s"), F.lit(max(total, 1))).alias("__r"))
+    return asked.join(numbered.withColumnRenamed(key, "other"), "__r").where(F.col("other") != F.col(key)).select(key, "other").distinct()

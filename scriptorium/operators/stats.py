@@ -43,13 +43,18 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranked.select(F.col(column).alias("__v"), rank.alias(out)), df[column].eqNullSafe(F.col("__v"))).drop("__v")
 
 
-def bootstrap(df: DataFrame, value: str, groups: list[str], times: int = 200, seed: int = 7) -> DataFrame:
+#: Cumulative probabilities of a Poisson count of mean 1. Fixed values.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+
+
+def bootstrap(df: DataFrame, value: str, groups: list[str], key: str, times: int = 200, seed: int = 7) -> DataFrame:
     """Confidence interval (2.5 and 97.5 %) of a mean by the Poisson bootstrap: each row
-    counts k times in each replicate, k from a hash of row and replicate, so replicates
-    are sums that combine on the map side; rows are never resampled in one place."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.struct(*df.columns), F.col("__b")), F.lit(1_000_003)) / 1_000_003
-    edges = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]  # cumulative Poisson(1). Fixed values.
-    k = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
-    each = df.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("__k", k)
+    counts k times in each replicate, k from a hash of the row's key and the replicate, so
+    replicates are sums that combine on the map side; rows are never resampled in one place."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col("__b").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    k = None
+    for n, edge in enumerate(POISSON):
+        k = F.when(u < edge, n) if k is None else k.when(u < edge, n)
+    each = df.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("__k", k.otherwise(len(POISSON)))
     means = each.groupBy(*groups, "__b").agg((F.sum(F.col(value) * F.col("__k")) / F.sum("__k")).alias("m"))
     return means.groupBy(*groups).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import alignment, clean, features, metrics
+from ..functions import alignment, clean, features, metrics, translit
 from ._base import query, table
 
 W = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
@@ -117,7 +117,14 @@ def conv_cer(spark, d):
     return p.select("conv_id", "turn", metrics.char_error(F.col("ref"), F.col("pred")).alias("cer"))
 
 
-@query()
+_DISTANCE = """list_reduce(range(1, len(r) + 1), lambda row, i: list_transform([list_prepend(i - 0, list_transform(range(1, len(h) + 1), lambda j: least(row[j + 1] + 1, row[j] + CAST(r[i] <> h[j] AS INT)) - j))], lambda u: list_transform(range(1, len(h) + 2), lambda j: j - 1 + list_min(u[1:j])))[1], range(0, len(h) + 1))[-1]"""
+
+
+@query(
+    f"""WITH {PAIRS}, w AS (SELECT conv_id, turn, {W.format("coalesce(ref, '')")} AS r, {W.format("coalesce(pred, '')")} AS h FROM p),
+  e AS (SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE {_DISTANCE} / len(r) END AS unclamped FROM w)
+  SELECT conv_id, turn, least(unclamped, 1.0) AS wer, unclamped FROM e"""
+)
 def conv_wer(spark, d):
     """MET02: word error rates."""
     return pairs(spark, d).select("conv_id", "turn", metrics.word_error(F.col("ref"), F.col("pred")).alias("wer"), metrics.word_error(F.col("ref"), F.col("pred"), False).alias("unclamped"))
@@ -215,9 +222,10 @@ def conv_lcs_ratio(spark, d):
 
 @query()
 def conv_error_classes(spark, d):
-    """AG22: tallies of aligned characters, by a part of the conversations."""
-    e = pairs(spark, d).select("conv_id", alignment.edits("ref", "pred").alias("e")).select((F.col("conv_id") % 4).alias("part"), "e.*")
-    return e.groupBy("part").agg(*(F.sum(c).alias(c) for c in ("correct", "substituted", "deleted", "inserted")))
+    """AG22: tallies of aligned characters by class, over the turns in the script."""
+    native = lambda c: translit.from_ipa(translit.latin_to_ipa(F.col(c)), "nko").alias(c)
+    e = pairs(spark, d).select(native("ref"), native("pred")).select(F.explode(alignment.class_edits("ref", "pred")).alias("e")).select("e.*")
+    return e.groupBy("class").agg(*(F.sum(c).alias(c) for c in alignment.EDITS))
 
 
 @query(r"WITH " + PAIRS + r" SELECT conv_id, turn, CASE WHEN v IS NULL THEN 0.0 WHEN rel <= 0.1 THEN 1.0 ELSE greatest(0.0, least(1.0, exp(-5.0 * rel))) END AS numeric, least(k / 2, 1.0) AS keywords FROM (SELECT *, abs(v - length(ref)) / length(ref) AS rel, CAST(contains(lower(pred), 'the') AS INT) + CAST(contains(lower(pred), 'que') AS INT) + CAST(contains(lower(pred), 'der') AS INT) AS k FROM (SELECT *, CAST(regexp_extract_all(pred || ' ' || length(pred), '-?[0-9]+\.?[0-9]*')[-1] AS DOUBLE) AS v FROM p))")

@@ -85,14 +85,28 @@ def event_max_overlap(spark, d):
     return intervals.best_overlap(left, spans(spark, d), "user_id", ("a", "b"), ("start", "stop"), "event_id", "span_id", 36000)
 
 
-@query()
+_OPEN = "STRUCT(s DOUBLE, e DOUBLE)[]"
+_HASH = "CAST('0x' || substr(md5(props), 1, 8) AS BIGINT)"
+#: Near-duplicate suppression as a fold over a user's rows in order: the last 20 hashes that passed, and the rows that did.
+SUPPRESSED = f"""SELECT user_id, unnest(s.k) AS event_id FROM (SELECT user_id, list_reduce(a, lambda s, x: CASE WHEN len(list_filter(s.p, lambda q: bit_count(xor(q, x.h)) <= 8)) = 0
+    THEN {{'p': list_append(s.p, x.h)[-20:], 'k': list_append(s.k, x.i)}} ELSE s END, {{'p': []::BIGINT[], 'k': []::BIGINT[]}}) AS s
+  FROM (SELECT user_id, list({{'h': {_HASH}, 'i': event_id}} ORDER BY event_id) AS a FROM events GROUP BY user_id))"""
+
+
+@query(
+    f"""WITH r AS (SELECT user_id, CAST({SECONDS} % 86400 AS DOUBLE) AS s, abs(value) % 20 AS w FROM events), a AS (SELECT user_id, list({{'s': greatest(0.0::DOUBLE, s - 0.3::DOUBLE), 'e': s + w + 0.3::DOUBLE}} ORDER BY s, s + w) AS a FROM r GROUP BY user_id),
+  m AS (SELECT user_id, list_reduce(a[2:], lambda c, x: CASE WHEN x.s - c.e < 0.5::DOUBLE AND greatest(x.e, c.e) - c.s <= 15 THEN {{'o': c.o, 's': c.s, 'e': greatest(x.e, c.e)}} ELSE {{'o': list_append(c.o, {{'s': c.s, 'e': c.e}}), 's': x.s, 'e': x.e}} END,
+    {{'o': []::{_OPEN}, 's': a[1].s, 'e': a[1].e}}) AS c FROM a),
+  g AS (SELECT user_id, unnest(list_append(c.o, {{'s': c.s, 'e': c.e}})) AS g FROM m), n AS (SELECT user_id, g.s AS s, g.e AS e, greatest(1, CAST(ceil((g.e - g.s) / 15.0::DOUBLE - 1e-9::DOUBLE) AS BIGINT)) AS n FROM g WHERE g.e - g.s >= 2)
+  SELECT user_id AS key, s + i * ((e - s) / n) AS s, s + (i + 1) * ((e - s) / n) AS e FROM (SELECT *, unnest(range(n)) AS i FROM n)"""
+)
 def event_segments_capped(spark, d):
     """WN04: segments with padding, gaps, a cap and even splits."""
     e = events(spark, d).select("user_id", (seconds() % 86400).alias("s"), F.abs("value").alias("v"))
     return intervals.merge_capped(e.withColumn("e", F.col("s") + F.col("v") % 20), "user_id", "s", "e")
 
 
-@query()
+@query(SUPPRESSED)
 def event_hash_suppress(spark, d):
     """WN06, FEA09: near-duplicate suppression over a 64-bit hash of the properties."""
     h = F.conv(F.substring(F.md5("props"), 1, 8), 16, 10).cast("long")
@@ -133,12 +147,17 @@ def event_pivot_heatmap(spark, d):
 DAILY = "SELECT CAST(ts AS DATE) AS day, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM events GROUP BY day"
 
 
-@query(f"""SELECT count(*) AS n, corr(a, b) AS pearson, avg(a - b) AS mean_diff, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t, count(*) FILTER (a > b) AS wins, count(*) FILTER (a < b) AS losses, count(*) FILTER (a = b) AS ties FROM ({DAILY}) WHERE a IS NOT NULL AND b IS NOT NULL""")
+_T = "abs(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*)))) / sqrt(2)"
+_U = f"(1 / (1 + 0.3275911::DOUBLE * {_T}))"
+_TAIL = f"round({_U} * (0.254829592::DOUBLE + {_U} * (-0.284496736::DOUBLE + {_U} * (1.421413741::DOUBLE + {_U} * (-1.453152027::DOUBLE + {_U} * 1.061405429::DOUBLE)))) * exp(-({_T}) * ({_T})), 9)"
+
+
+@query(f"""SELECT count(*) AS n, corr(a, b) AS pearson, avg(a - b) AS mean_diff, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t, count(*) FILTER (a > b) AS wins, count(*) FILTER (a < b) AS losses, count(*) FILTER (a = b) AS ties, {_TAIL} AS p FROM ({DAILY}) WHERE a IS NOT NULL AND b IS NOT NULL""")
 def event_paired_stats(spark, d):
     """AG23: Pearson, paired t, sign test."""
     e = events(spark, d)
     daily = e.groupBy(F.to_date("ts").alias("day")).agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return stats.paired(daily, "a", "b").drop("p")
+    return stats.paired(daily, "a", "b").withColumn("p", F.round("p", 9))
 
 
 @query("WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS y FROM lineitem) SELECT round(corr(x, y), 9) AS spearman, count(*) AS n FROM r")
@@ -149,10 +168,17 @@ def lineitem_spearman(spark, d):
     return r.agg(F.round(F.corr("x", "y"), 9).alias("spearman"), F.count("*").alias("n"))
 
 
-@query()
+_TIMES = "CASE " + " ".join(f"WHEN u < {e} THEN {k}" for k, e in enumerate(stats.POISSON)) + f" ELSE {len(stats.POISSON)} END"
+
+
+@query(
+    f"""SELECT event_type, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM (SELECT event_type, b, sum(value * k) / sum(k) AS m FROM (SELECT event_type, value, b, {_TIMES} AS k
+  FROM (SELECT event_type, value, b, CAST('0x' || substr(md5('7-' || event_id || '-' || b), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM events, range(1, 201) t(b))) GROUP BY event_type, b) GROUP BY event_type"""
+)
 def event_bootstrap(spark, d):
     """AG23: bootstrap confidence interval of the mean by event type."""
-    return stats.bootstrap(events(spark, d).select("event_id", "event_type", "value"), "value", ["event_type"])
+    b = stats.bootstrap(events(spark, d).select("event_id", "event_type", "value"), "value", ["event_type"], "event_id")
+    return b.select("event_type", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query("SELECT event_type, count(*) AS n, avg(value) AS mean, min(value) AS least, max(value) AS most, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS median, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median, count(*) FILTER (value >= 99) AS perfect, count(*) FILTER (value < 1) AS zero FROM events GROUP BY event_type")

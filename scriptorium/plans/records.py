@@ -5,32 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import clean
-from ..operators import decode
+from ..functions import clean, fsm, script
+from ..operators import decode, sample
 from ..shared import folder
 from ..sources import readers, sinks
-from ._base import query, table
+from ._base import query, quoted, table
 
 
 def docs(spark, d):
     return table(spark, d, "documents")
 
 
-@query(
-    """WITH q AS (SELECT item_id, text FROM benchmark), o AS (SELECT q.item_id, b.item_id AS other, row_number() OVER (PARTITION BY q.item_id ORDER BY md5(CAST(q.item_id AS VARCHAR) || '-' || CAST(b.item_id AS VARCHAR))) AS r FROM q JOIN benchmark b ON b.item_id <> q.item_id)
-  SELECT item_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS distractors FROM o WHERE r <= 3 GROUP BY item_id"""
-)
+_AROUND = "SELECT item_id, row_number() OVER (ORDER BY md5(CAST(item_id AS VARCHAR)), item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark"
+
+
+@query(f"SELECT a.item_id, string_agg(CAST(b.item_id AS VARCHAR), ',' ORDER BY b.item_id) AS distractors FROM ({_AROUND}) a JOIN ({_AROUND}) b ON b.item_id <> a.item_id AND b.r IN ((a.r + 1) % a.n, (a.r + 2) % a.n, (a.r + 3) % a.n) GROUP BY a.item_id")
 def benchmark_distractors(spark, d):
-    """SMP06: three others for each item, by hash. Candidates come from one broadcast
-    array of ids, whose size is checked; nothing is crossed row by row."""
-    items = table(spark, d, "benchmark").select("item_id")
-    n = items.count()
-    if n > 100_000:
-        raise ValueError("distractors are drawn from at most 100,000 items")
-    ids = items.agg(F.collect_list("item_id").alias("ids"))
-    ranked = F.array_sort(F.transform(F.filter("ids", lambda x: x != F.col("item_id")), lambda x: F.struct(F.md5(F.concat(F.col("item_id").cast("string"), F.lit("-"), x.cast("string"))).alias("h"), x.alias("x"))))
-    chosen = F.array_sort(F.transform(F.slice(ranked, 1, 3), lambda s: s["x"]))
-    return items.crossJoin(F.broadcast(ids)).select("item_id", F.array_join(F.transform(chosen, lambda x: x.cast("string")), ",").alias("distractors"))
+    """SMP06: three others for each item, the next ones in a ring by hash."""
+    found = sample.next_in_ring(table(spark, d, "benchmark").select("item_id"), "item_id", 3)
+    return found.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ",").alias("distractors"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents) WHERE r = 1")
@@ -237,15 +230,21 @@ def invariance_gates(spark, d):
     return g.select("user_id", s.alias("s")).select("user_id", "s.passed", "s.failure", F.round("s.score", 9).alias("score"))
 
 
-@query()
-def synthetic_words(spark, d):
-    """SMP08: words drawn by hash, kept if the automaton admits them."""
-    from ..functions import fsm, script
+_ALPHABET = "ߓߕߞߟߡߣߛߊߌߎߍߏ"
+_BARE = f"regexp_replace(word, {quoted(script.NKO_MARK)}, '', 'g')"
+
 
-    letters = F.split(F.lit("ߓߕߞߟߡߣߛߊߌߎߍߏ"), "")
-    size = (F.pmod(F.xxhash64("id"), F.lit(5)) + 2).cast("int")
-    word = F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: F.element_at(letters, (F.pmod(F.xxhash64("id", i), F.lit(12)) + 1).cast("int"))), "")
-    rows = spark.range(table(spark, d, "region").count() * 40).select("id", word.alias("word"))
+@query(
+    f"""WITH r AS (SELECT CAST(id AS BIGINT) AS id FROM range((SELECT count(*) FROM customer)) t(id)), s AS (SELECT id, md5('word-' || id) AS h FROM r),
+  w AS (SELECT id, array_to_string(list_transform(range(1, 3 + CAST('0x' || substr(h, 1, 1) AS INT) % 5), lambda i: substr('{_ALPHABET}', 1 + CAST('0x' || substr(h, 1 + i, 1) AS INT) % 12, 1)), '') AS word FROM s)
+  SELECT id, word FROM w WHERE NOT regexp_matches(word, {quoted(fsm.CONSONANT_END)}) AND NOT regexp_matches({_BARE}, {quoted(script.NKO_CONSONANT + script.NKO_CONSONANT)})"""
+)
+def synthetic_words(spark, d):
+    """SMP08: words drawn by hash, one try for each customer, kept if the automaton admits them."""
+    h = F.md5(F.concat(F.lit("word-"), F.col("id").cast("string")))
+    digit = lambda i: F.conv(F.substr(h, i, F.lit(1)), 16, 10).cast("int")
+    letters = F.transform(F.sequence(F.lit(1), digit(F.lit(1)) % 5 + 2), lambda i: F.substr(F.lit(_ALPHABET), digit(i + 1) % 12 + 1, F.lit(1)))
+    rows = spark.range(table(spark, d, "customer").count()).select("id", F.array_join(letters, "").alias("word"))
     return rows.where(fsm.admissible(F.col("word")) & (fsm.validity_ratio(F.col("word")) == 1.0) & script.has_nko(F.col("word")))
 
 

@@ -199,7 +199,12 @@ def affix_lookup(spark, d):
     return found.groupBy("form", "a.kind", "a.latin", "a.gloss").agg(F.sum("k").alias("n"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT p_name AS text, p_partkey AS ord, list_sort(list_distinct(string_split(p_name, ''))) AS c FROM part WHERE length(p_name) > 0), f AS (SELECT c, min(ord) AS ord FROM t GROUP BY c),
+  s AS (SELECT list_reduce(list({'c': c, 'o': ord} ORDER BY ord), lambda s, x: list_append(s, {'c': x.c, 'o': x.o, 'd': coalesce(list_filter(s, lambda q: q.o = q.d AND len(list_intersect(q.c, x.c)) / len(list_distinct(list_concat(q.c, x.c))) >= 0.85)[1].d, x.o)}), []::STRUCT(c VARCHAR[], o BIGINT, d BIGINT)[]) AS s FROM f),
+  m AS (SELECT x.c AS c, x.d AS seed FROM (SELECT unnest(s) AS x FROM s))
+  SELECT seed, count(*) AS n, arg_max(text, length(text) * 1000000000 - ord) AS canonical, count(DISTINCT text) AS variants FROM t JOIN m USING (c) GROUP BY seed"""
+)
 def part_fuzzy_clusters(spark, d):
     """JN08, AG05: greedy clusters of part names by character sets, rolled up."""
     p = table(spark, d, "part").select(F.col("p_name").alias("text"), F.col("p_partkey").alias("ord"))

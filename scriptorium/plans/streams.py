@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..shared import folder
 from ..streaming import jobs
 from ._base import query, table
+from .events import SUPPRESSED
 
 
 def _stream(spark, d):
@@ -34,7 +35,7 @@ def stream_available(spark, d):
     return _result(spark, jobs.available(_stream(spark, d).select("event_id", "user_id"), have, "user_id")).select("event_id", "user_id")
 
 
-@query()
+@query(SUPPRESSED)
 def stream_hash_suppress(spark, d):
     """STM05, STM07: the state of each user is its last 20 hashes; equals event_hash_suppress."""
     h = F.conv(F.substring(F.md5("props"), 1, 8), 16, 10).cast("long")
