@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import conversations, documents, events, intake, language, records, scripts, star, streams, vectors  # noqa: F401  (they register their queries)
+from .plans import conversations, documents, events, intake, language, records, scripts, star, streams, tasks, vectors  # noqa: F401  (they register their queries)
 from .plans._base import ORACLE_SQL, QUERIES  # noqa: F401

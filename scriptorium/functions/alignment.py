@@ -83,6 +83,16 @@ def trace(a: str, b: str):
 EDITS = ("correct", "substituted", "deleted", "inserted")
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in EDITS]))
+def edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Tallies of an optimal alignment of all characters."""
+    out = np.zeros((len(ref), 4), np.int64)
+    for k, (a, b) in enumerate(zip(ref.fillna(""), hyp.fillna(""), strict=True)):
+        for op, _, _ in trace(a, b):
+            out[k, EDITS.index(op)] += 1
+    return pd.DataFrame(out, columns=EDITS)
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("class", T.StringType()), *(T.StructField(c, T.LongType()) for c in EDITS)])))
 def class_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Tallies of an optimal alignment by the class of the reference's character (of the

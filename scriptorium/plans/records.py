@@ -248,10 +248,26 @@ def synthetic_words(spark, d):
     return rows.where(fsm.admissible(F.col("word")) & (fsm.validity_ratio(F.col("word")) == 1.0) & script.has_nko(F.col("word")))
 
 
+BEAM = ["", "a", "b", "c", "d", "e", "f", "g"]
+
+
+def admits(text: str, c: str) -> bool:
+    """Syllables of at most one consonant before a vowel."""
+    return not text or c in "ae" or text[-1] in "ae"
+
+
+def complete(text: str) -> bool:
+    return not text or text[-1] in "ae"
+
+
 @query()
 def vec_beam_search(spark, d):
-    """DEC01, TK08, EXT06: vectors as eight frames of eight scores, decoded by beam search."""
-    alphabet = ["", "a", "b", "c", "d", "e", "f", "g"]
+    """DEC01, TK08, EXT06: vectors as eight frames of eight scores, decoded by beam search with
+    a model of character pairs, counted in the customers' segments, and an automaton."""
+    letters = F.filter(F.split(F.lower("c_mktsegment"), ""), lambda c: c.isin(BEAM[1:]))
+    two = F.zip_with(letters, F.slice(letters, 2, 1 << 20), lambda a, b: F.concat(a, b))
+    found = table(spark, d, "customer").select(F.explode(two).alias("p")).where(F.length("p") == 2).groupBy("p").agg(F.count("*").alias("n"))
+    counts = {r.p: r.n for r in found.collect()}  # at most 49 pairs of letters
     frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, 8), lambda x: x.cast("double")))
     v = table(spark, d, "embeddings").select("vec_id", frames.alias("f"))
-    return decode.beam_search(v, "f", alphabet).select("vec_id", "text", F.round("score", 6).alias("score"))
+    return decode.beam_search(v, "f", BEAM, language=decode.PairModel(counts, len(BEAM) - 1), admits=admits, complete=complete).select("vec_id", "text", F.round("score", 6).alias("score"))

@@ -176,7 +176,18 @@ def codebook_stats(spark, d):
     return codebook.codebook(spark).groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("nucleus").alias("nuclei"), F.countDistinct("onset").alias("onsets"))
 
 
-@query()
+_UNIT = f"[^\\x{{07EB}}-\\x{{07EF}}\\x{{07F2}}\\x{{07F3}}]{script.NKO_MARK}*"
+
+
+def _merges(least: int) -> str:
+    """Byte-pair merging in SQL: words b(step, word, n, u) after each step, with its pair; only words of 5 and more are counted."""
+    words = f"SELECT word, n, regexp_extract_all(word, {quoted(_UNIT)}) AS u FROM (SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(t, '\\s+')) AS word FROM ({NATIVE})) WHERE word <> '' GROUP BY word HAVING count(*) >= {least})"
+    return f"""WITH RECURSIVE w AS MATERIALIZED ({words}), b AS (SELECT 0 AS step, word, n, u, '' AS a, '' AS c FROM w UNION ALL
+  SELECT step + 1, word, n, CASE WHEN contains(word, x.a || x.c) AND list_contains(u, x.a) AND list_contains(u, x.c) THEN list_reduce(u, lambda s, y: CASE WHEN len(s) > 0 AND s[-1] = x.a AND y = x.c THEN list_append(s[:-2], x.a || x.c) ELSE list_append(s, y) END, []::VARCHAR[]) ELSE u END, x.a, x.c
+  FROM b, (SELECT p.a AS a, p.c AS c FROM (SELECT unnest(list_transform(range(1, len(u)), lambda i: {{'a': u[i], 'c': u[i + 1]}})) AS p, n FROM b WHERE n >= 5) GROUP BY p HAVING sum(n) >= 5 ORDER BY sum(n) DESC, p.a || chr(1) || p.c LIMIT 1) x WHERE step < 256)"""
+
+
+@query(f"{_merges(5)} SELECT DISTINCT CAST(step - 1 AS INT) AS step, a, c AS b FROM b WHERE step > 0")
 def native_bpe_merges(spark, d):
     """TOK02, TK06, AG31: 256 merges over the documents' words in the script."""
     from ..operators import bpe
@@ -185,7 +196,11 @@ def native_bpe_merges(spark, d):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "step int, a string, b string")
 
 
-@query()
+@query(
+    f"""{_merges(1)}, l AS (SELECT word, len(u) AS k, array_to_string(u, '') = word AS whole FROM b WHERE step = (SELECT max(step) FROM b)),
+  d AS (SELECT doc_id, unnest(string_split_regex(t, '\\s+')) AS word FROM ({NATIVE}))
+  SELECT doc_id, CAST(sum(length(word)) AS BIGINT) AS chars, CAST(sum(k) AS BIGINT) AS tokens, bool_and(whole) AS whole FROM d JOIN l USING (word) GROUP BY doc_id"""
+)
 def native_bpe_metrics(spark, d):
     """TOK03, AG14: characters for each token, with 256 merges applied."""
     from ..operators import bpe

@@ -23,3 +23,10 @@ def saved(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, table: DataFrame) -> None:
+    """Deletes the files of a saved table that nothing will read any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

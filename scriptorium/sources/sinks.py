@@ -48,3 +48,10 @@ def markdown(df: DataFrame, title: str, limit: int = 1000) -> str:
         raise ValueError(f"a report has at most {limit} rows")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def report(df: DataFrame, title: str, path: str, limit: int = 1000) -> None:
+    """A small table as a report: JSON rows under ``json`` and a Markdown page under ``markdown``."""
+    text = markdown(df, title, limit)
+    df.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")

@@ -196,8 +196,10 @@ def test_lookups(spark):
 def test_morphology(spark):
     m = one(spark, morphology.decompose(F.col("w")), w="mogolu")
     assert (m.prefix, m.root, m.suffix) == ("", "mogo", "lu") or (m.prefix, m.root, m.suffix) == ("", "mogo", "lu")
-    assert one(spark, morphology.compound(F.col("w"), ["so", "jiri"]), w="jiriso") == ["jiri", "so"]
-    assert one(spark, morphology.compound(F.col("w"), ["so", "jiri"]), w="jirisox") == []
+    c = one(spark, morphology.compound(F.col("w")), w="jisox")
+    assert (c.parts, c.head, c.literal, c.confidence) == ("ji+so+x", "so", "water-house-?", 0.7)
+    assert one(spark, morphology.compound(F.col("w")), w="soda").meaning == "doorway" and one(spark, morphology.compound(F.col("w")), w="xso") is None
+    assert one(spark, morphology.affix(F.col("w")), w="LU").gloss == "PL" and one(spark, morphology.affix(F.col("w")), w="ߟߊ").kind == "derivational" and one(spark, morphology.affix(F.col("w")), w="zz").kind is None
     assert morphology.paradigm(spark, spark.createDataFrame([("taa",)], ["v"]), "v").count() == 6 * 6 + 2
 
 
