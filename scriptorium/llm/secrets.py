@@ -40,15 +40,16 @@ _SECRET = "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]ass|PASS|[Pp]wd|PWD|[Aa][Pp][I
 _WHITE = " \t\n\r\f\x0b"
 #: Forms of issued keys. Fixed values.
 _KEYS = "(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{30,60}|sk_live_[A-Za-z0-9]{16,100}|sk-[A-Za-z0-9]{20,100}|glpat-[A-Za-z0-9_-]{16,60}|eyJ[A-Za-z0-9_-]{10,}(?:[.][A-Za-z0-9_-]{4,}){1,2}"
-TOKEN = "(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}"
-#: Up to two words before; a secret name with its value, or an issued key, or [name and sign] token.
+TOKEN = "(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}"
+_ISSUED_OR_TOKEN = f"(?:(?:{_KEYS})(?![A-Za-z0-9+/_-])|{TOKEN})"
+#: A name with a sign after it (looked for first, as few words have one) and its value, or an issued key or token alone.
 CANDIDATE = (
-    "(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]{2,20}[ \t]{1,3}){0,2}"
+    "(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z0-9_.-]{2,75}+[\"']?[ \t]{0,3}[:=])"
     f"(?:[A-Za-z0-9_.-]{{0,30}}{_SECRET}[A-Za-z0-9_.-]{{0,20}}{_SIGN}(?:\"[^\"{_WHITE}]{{6,}}\"|'[^'{_WHITE}]{{6,}}'|[^\"'<>,;(){{}}\\[\\]{_WHITE}]{{6,}})"
-    f"|(?:[A-Za-z][A-Za-z0-9_.-]{{1,40}}{_SIGN}[\"']?)?(?<![A-Za-z0-9+/_-])(?:(?:{_KEYS})(?![A-Za-z0-9+/_-])|{TOKEN}))"
+    f"|[A-Za-z][A-Za-z0-9_.-]{{1,40}}{_SIGN}[\"']?{_ISSUED_OR_TOKEN})|{_ISSUED_OR_TOKEN})"
 )
-#: The two words after a candidate, beside which nothing is taken.
-AFTER = "(?=((?:[\"' \t,.;)]{1,3}[A-Za-z]{2,20}){0,2}))"
+#: Up to two words at the end of what stands before a candidate, and at the beginning of what follows; so many characters of it are looked at.
+BEFORE, AFTER, NEAR = "((?:[A-Za-z]{2,20}[ \t]{1,3}){0,2})$", "^((?:[\"' \t,.;)]{1,3}[A-Za-z]{2,20}){0,2})", 50
 #: Words of identifiers, paths and prose that random strings do not have. Fixed values.
 DICTIONARY = "example|sample|placeholder|changeme|default|dummy|secret|password|token|build|version|release|commit|image|static|assets|index|archive|content|article|document|report|update|module|object|string|number|class|config|server|client|local|remote|public|source|target|output|input|data|file|path|page|user|name|test|demo|node|java|script|python|linux|http|https|www|com|org|html|json|year|month|date|time|line|item|list|part|from|with|that|this|tion|ment|ness|able"
 #: Pairs of letters that are usual in words. Fixed values.
@@ -59,7 +60,7 @@ PLAIN_NAME = "(?i)sha[0-9]*$|md5|commit|checksum|digest|hash|uuid|guid|version|b
 ISSUED = f"^(?:{_KEYS})$"
 #: What stands for a value, or computes one. Fixed values.
 STANDIN = "(?i)^[$%<{\\[]|[*x.#]{4,}|0{6,}|(?:^|[^a-z])(?:your|my|none|null|nil|true|false|undefined|required|optional|string|env|environ|getenv|getpass|process|config|settings|example|changeme|placeholder|redacted|hidden|empty)(?:[^a-z]|$)|[()]"
-PARTS = f"^((?:[A-Za-z]{{2,20}}[ \t]{{1,3}}){{0,2}}?)(?:([A-Za-z0-9_.-]+){_SIGN})?[\"']?([^{_WHITE}]*?)[\"']?$"
+PARTS = f"^(?:([A-Za-z0-9_.-]+){_SIGN})?[\"']?([^{_WHITE}]*?)[\"']?$"
 FEATURES = ("length", "digits", "letters", "changes", "pairs", "dictionary", "path", "secret_name", "plain_name", "issued", "hexadecimal", "upper", "marks", "standin", "secret_near", "plain_near")
 
 
@@ -252,9 +253,9 @@ def _case(tree, row):
     return F.when(row[FEATURES[f]] <= cut, _case(low, row)).otherwise(_case(high, row))
 
 
-def _parts(found, after):
-    """Features of a candidate: its own words before, name and token, and the words after it."""
-    return _features(F.regexp_extract(found, PARTS, 2), F.regexp_extract(found, PARTS, 3), F.concat_ws(" ", F.regexp_extract(found, PARTS, 1), after))
+def _parts(own, near):
+    """Features of a candidate, its name and token, and the words beside it."""
+    return _features(F.regexp_extract(own, PARTS, 1), F.regexp_extract(own, PARTS, 2), near)
 
 
 def _vote(row):
@@ -266,12 +267,15 @@ def _vote(row):
 
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __found: candidates, their tokens, and whether they are secrets by themselves."""
-    whole = F.lit(f"({CANDIDATE}){AFTER}")
-    none = F.array().cast("array<string>")
-    docs = docs.withColumns({"__own": F.coalesce(F.regexp_extract_all(text, whole, F.lit(1)), none), "__after": F.coalesce(F.regexp_extract_all(text, whole, F.lit(2)), none)})
-    judged = F.transform(F.zip_with("__own", "__after", _parts), lambda row: F.struct(row["token"].alias("token"), _vote(row).alias("secret")))
-    return docs.withColumn("__found", F.zip_with("__own", judged, lambda own, j: F.struct(own.alias("own"), j["token"].alias("token"), j["secret"].alias("secret")))).drop("__own", "__after")
+    """docs with __between, the text cut at its candidates, and __found: candidates, their
+    tokens, and whether they are secrets by themselves. Texts without candidates are not cut."""
+    some, none = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False)), F.array().cast("array<string>")
+    docs = docs.withColumns({"__own": F.when(some, F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(none), "__between": F.when(some, F.split(F.col(text), CANDIDATE, -1)).otherwise(none)})
+    before = F.transform("__between", lambda x: F.regexp_extract(F.substring(x, -NEAR, NEAR), BEFORE, 1))
+    after = F.transform(F.slice("__between", 2, F.greatest(F.size("__own"), F.lit(1))), lambda x: F.regexp_extract(F.substring(x, 1, NEAR), AFTER, 1))
+    near = F.zip_with(F.slice(before, 1, F.size("__own")), after, lambda a, b: F.concat_ws(" ", a, b))
+    judged = F.transform(F.zip_with("__own", near, _parts), lambda row: F.struct(row["token"].alias("token"), _vote(row).alias("secret")))
+    return docs.withColumn("__found", F.zip_with("__own", judged, lambda own, j: F.struct(own.alias("own"), j["token"].alias("token"), j["secret"].alias("secret")))).drop("__own")
 
 
 def _listed(docs: DataFrame) -> DataFrame:
@@ -281,16 +285,15 @@ def _listed(docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """docs with n_candidates and secrets, the distinct secret strings of a text in order."""
-    return _listed(_scanned(docs.drop("n_candidates", "secrets"), text)).drop("__found")
+    return _listed(_scanned(docs.drop("n_candidates", "secrets"), text)).drop("__found", "__between")
 
 
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """scan() with MASK in the text in the place of its secrets."""
     out = _listed(_scanned(docs.drop("n_candidates", "secrets"), text))
     masked = F.transform("__found", lambda f: F.when(f["secret"] | F.array_contains(F.col("secrets"), f["token"]), F.replace(f["own"], f["token"], F.lit(MASK))).otherwise(f["own"]))
-    between = F.split(F.col(text), CANDIDATE, -1)
-    clean = F.concat_ws("", F.flatten(F.zip_with(between, masked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-    return out.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text))).drop("__found")
+    clean = F.concat_ws("", F.flatten(F.zip_with("__between", masked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    return out.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text))).drop("__found", "__between")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -301,12 +304,12 @@ def brute(text: str | None) -> tuple[int, list[str], str | None]:
     """(n_candidates, secrets, redacted text) in Python, for tests."""
     if text is None:
         return 0, [], None
-    found = []
-    for m in re.finditer(f"({CANDIDATE}){AFTER}", text):
-        near, name, token = re.search(PARTS, m[1]).groups()
-        found.append((m[1], token, probability(name or "", token, f"{near} {m[2]}") >= 0.5))
+    found, between = [], re.split(CANDIDATE, text)
+    for k, m in enumerate(re.finditer(CANDIDATE, text)):
+        name, token = re.search(PARTS, m[0]).groups()
+        near = f"{re.search(BEFORE, between[k][-NEAR:])[1]} {re.search(AFTER, between[k + 1][:NEAR])[1]}"
+        found.append((m[0], token, probability(name or "", token, near) >= 0.5))
     secrets = list(dict.fromkeys(t for _, t, s in found if s))
-    between = re.split(CANDIDATE, text)
     out = [between[0]]
     for (own, token, _), rest in zip(found, between[1:], strict=True):
         out += [own.replace(token, MASK) if token in secrets else own, rest]
