@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import append, column, hashed_sample, remainder
+from ._spark import append, column, hashed_sample, remainder, tidy
 
 WIDTH, CONTEXT, SPAN, HIDDEN = 24, 12, 96, 8
 GRAMS = (4, 5)
@@ -258,9 +258,21 @@ def sequences(bounds: np.ndarray, starts: np.ndarray, docs: np.ndarray, span: in
     return np.where(mask, at, 0), mask, window
 
 
-def worst(weight: np.ndarray, evidence: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def worst(weight: np.ndarray, evidence: np.ndarray, bounds: np.ndarray, some: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """(first word, ratio of sums) of the worst window of each text, over windows of
-    WIDTH words at every word of the text; a text without words has the ratio 0."""
+    WIDTH words at every word of the text; a text without words has the ratio 0. Texts are
+    taken in runs of about ``some`` words."""
+    parts, at = [(np.zeros(0, np.int64), np.zeros(0))], 0
+    while at + 1 < len(bounds):
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + some, "right")) - 1)
+        a, b = int(bounds[at]), int(bounds[stop])
+        first, best = _worst(weight[a:b], evidence[a:b], bounds[at : stop + 1] - a)
+        parts.append((first + a, best))
+        at = stop
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _worst(weight: np.ndarray, evidence: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(bounds)
     first, best = bounds[:-1].copy(), np.zeros(len(size))
     some = np.flatnonzero(size > 0)
@@ -280,7 +292,7 @@ def worst(weight: np.ndarray, evidence: np.ndarray, bounds: np.ndarray) -> tuple
 
 class Model:
     #: Segments that are read at once.
-    BLOCK = 1024
+    BLOCK = 512
 
     def __init__(self, words: Words, network: Network, slope: float, shift: float):
         self.words, self.network, self.slope, self.shift = words, network, slope, shift
@@ -328,7 +340,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, epochs: int = 6)
         return None
     flat, offsets, _ = _text.buffers(pa.array(texts, pa.large_string()))
     begins, ends, value, bounds = _text.words(flat, offsets, _text.WORDISH)
-    owner = np.searchsorted(bounds, np.arange(len(value)), "right") - 1
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
     cuts = [(int(bounds[i]), int(bounds[min(i + 250, len(texts))])) for i in range(0, len(texts), 250)]
 
     def grams(n: int):
@@ -338,8 +350,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, epochs: int = 6)
 
     of_words, of_grams = Association(((value[a:b], owner[a:b]) for a, b in cuts), toxic), [Association(grams(n), toxic) for n in GRAMS]
     words = Words(of_words.lookup(), [x.lookup() for x in of_grams])
-    fixed = np.zeros((len(value), INPUTS), np.float32)
-    label = toxic[owner]
+    fixed = np.zeros((len(value), INPUTS - 2 * DEPTH), np.float32)
+    label = toxic[owner].astype(np.int8)
     gram_rows, gram_count = [], []
     for a, b in cuts:
         if a == b:
@@ -352,20 +364,19 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, epochs: int = 6)
                 gram_rows.append(_table(h).astype(np.int32))
                 gram_count.append(np.bincount(word, minlength=b - a))
     fixed[:, 3] = np.minimum(ends - begins, 20) / 10
-    rows = _table(value)
-    count = np.concatenate([*gram_count, np.zeros(0, np.int64)])
+    rows = _table(value).astype(np.int32)
+    count = np.concatenate([*gram_count, np.zeros(0, np.int64)]).astype(np.int32)
     gram_rows = np.concatenate([*gram_rows, np.zeros(0, np.int32)])
-    gram_first = np.cumsum(count) - count
+    gram_first = np.cumsum(count, dtype=np.int64) - count
 
     def own_grams(at: np.ndarray) -> np.ndarray:
         n = count[at]
         return gram_rows[np.repeat(gram_first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
     def inputs(at: np.ndarray) -> np.ndarray:
-        x = fixed[at]
-        x[:, -2 * DEPTH :] = words.embed(rows[at], own_grams(at), count[at])
-        return x
+        return np.concatenate([fixed[at], words.embed(rows[at], own_grams(at), count[at])], 1)
 
+    del begins, ends, value, of_words, of_grams
     r = np.random.default_rng(11)
     model = Model(words, Network(), 1.0, 0.0)
     held = np.arange(len(toxic)) % CALIBRATE == CALIBRATE - 1
@@ -374,7 +385,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, epochs: int = 6)
     weight = np.where(toxic > 0, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())).astype(np.float32)
     network, fit_network, fit_tables = model.network, Adam(0.02), Adam(0.005)
     clean = np.flatnonzero((label == 0) & ~held[owner]) if len(owner) else np.zeros(0, np.int64)
-    found = np.ones(len(value)), fixed[:, :3].sum(1)
+    found = np.ones(len(fixed), np.float32), fixed[:, :3].sum(1)
+    del label
     for _ in range(rounds):
         first, _ = worst(*found, bounds)
         docs = np.flatnonzero(~held)
@@ -401,6 +413,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, epochs: int = 6)
     z = worst(*found, bounds)[1] + float(network.p["c"][0])
     use = held if held.any() else np.ones(len(toxic), bool)
     model.slope, model.shift = _calibrate(z[use].astype(float), toxic[use])
+    del fixed, rows, count, gram_rows, gram_first, found, owner
+    tidy()
     return model
 
 
