@@ -19,7 +19,8 @@ are negative. The last model is kept by a digest of the rows it was fitted on.
 
 Scoring is one pass without a shuffle; a lost task is run again. Inputs and states are
 made for a few segments at a time; of a long text only its words' places, hashes and
-two numbers each are held. Null and empty texts are scored as a window with no words.
+two numbers each are held. Texts without words, null ones too, have the share of toxic
+ones among those fitted as their score (0.49 at most).
 An empty document table gives an empty result. Rows labelled more than once count as
 toxic if any label says so; null labels do not count; repeated documents each give a
 row, and in fitting one of an id's texts counts. Without labels of both kinds all
@@ -294,8 +295,8 @@ class Model:
     #: Segments that are read at once.
     BLOCK = 512
 
-    def __init__(self, words: Words, network: Network, slope: float, shift: float):
-        self.words, self.network, self.slope, self.shift = words, network, slope, shift
+    def __init__(self, words: Words, network: Network, slope: float, shift: float, prior: float = 0.0):
+        self.words, self.network, self.slope, self.shift, self.prior = words, network, slope, shift, prior
 
     def evidence(self, bounds: np.ndarray, inputs) -> tuple[np.ndarray, np.ndarray]:
         """(weight, evidence) of all words; inputs(a, b) gives those of a range of words."""
@@ -312,14 +313,12 @@ class Model:
             weight[at[span]], evidence[at[span]] = a.T[span], e.T[span]
         return weight, evidence
 
-    def logits(self, flat, offsets) -> np.ndarray:
-        """The worst window's logit of each text."""
+    def scores(self, flat, offsets) -> np.ndarray:
+        """The worst window's logit of each text, calibrated; without words the prior, less than 0.5."""
         begins, ends, value, bounds = _text.words(flat, offsets, _text.WORDISH)
         found = self.evidence(bounds, lambda a, b: self.words(flat, begins[a:b], ends[a:b], value[a:b]))
-        return worst(*found, bounds)[1] + float(self.network.p["c"][0])
-
-    def scores(self, flat, offsets) -> np.ndarray:
-        return _sigmoid(self.slope * self.logits(flat, offsets).astype(np.float64) + self.shift)
+        logit = worst(*found, bounds)[1] + float(self.network.p["c"][0])
+        return np.where(np.diff(bounds) > 0, _sigmoid(self.slope * logit + self.shift), min(self.prior, 0.49))
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -378,7 +377,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, epochs: int = 6)
 
     del begins, ends, value, of_words, of_grams
     r = np.random.default_rng(11)
-    model = Model(words, Network(), 1.0, 0.0)
+    model = Model(words, Network(), 1.0, 0.0, float(toxic.mean()))
     held = np.arange(len(toxic)) % CALIBRATE == CALIBRATE - 1
     if min(toxic[held].sum(), (1 - toxic[held]).sum()) < 10:
         held[:] = False

@@ -696,6 +696,8 @@ def brute_score(model, text: str) -> float:
 
     flat, offsets, _ = _text.buffers(pa.array([text]))
     begins, ends, value, _ = _text.words(flat, offsets, _text.WORDISH)
+    if not len(value):
+        return min(model.prior, 0.49)
     p, size, weight, evidence = model.network.p, len(value), [], []
 
     def gate(z):
