@@ -127,7 +127,7 @@ def next_documents(docs: DataFrame, compute, fields: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     compute = _Compute(compute, fields)
     by = F.col("doc_id").desc_nulls_last()
-    placed = docs.repartitionByRange(2 * partitions(docs), by, F.substring("text", 1, 256)).sortWithinPartitions(by, "text")
+    placed = docs.repartitionByRange(2 * partitions(docs), by, F.substring("text", 1, 24)).sortWithinPartitions(by, "text")
     done = saved(placed.mapInArrow(lambda batches: _paired(batches, compute), f"{fields}, __part int, __first boolean, __id long, __text string"))
     # two rows for each range; the order of ranges is a number for each of them
     edges = done.where("__part is not null").select(*EDGE)
