@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from . import _vector
 
 from .clean import words
 from .script import NKO
@@ -69,19 +74,30 @@ def turn_features(df: DataFrame, key: list[str], text: str = "text", before: str
     return out.withColumn("overlap_ratio", overlap).drop("__w")
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy (bits) of the characters of the lower-cased text, within the row:
-    sorted characters, run lengths by the sum of c log c over the distinct ones."""
-    chars = F.split(F.lower(text), "")
-    n = F.size(chars)
-    distinct = F.array_distinct(chars)
-    lower = F.lower(text)
+@F.pandas_udf(StructType([StructField("n", IntegerType()), StructField("top", IntegerType()), StructField("distinct", IntegerType()), StructField("entropy", DoubleType())]))
+def _char_counts(text: pd.Series) -> pd.DataFrame:
+    out = np.zeros((len(text), 4))
+    for a, b, codes, bounds in _vector.segments(text):
+        size = np.diff(bounds)
+        row = np.repeat(np.arange(b - a, dtype=np.int64), size)
+        key, count = np.unique(row << 21 | codes.astype(np.int64), return_counts=True)
+        row, share = key >> 21, count / size[key >> 21]
+        out[a:b, 0] = size
+        np.maximum.at(out[a:b, 1], row, count)
+        out[a:b, 2] = np.bincount(row, minlength=b - a)
+        out[a:b, 3] = np.bincount(row, -share * np.log2(share), b - a)
+    return pd.DataFrame({"n": out[:, 0].astype(np.int32), "top": out[:, 1].astype(np.int32), "distinct": out[:, 2].astype(np.int32), "entropy": out[:, 3]})
 
-    def part(c):
-        k = (F.length(lower) - F.length(F.replace(lower, c, F.lit("")))) / n
-        return -k * F.log2(k)
 
-    return F.when(F.length(text) > 0, F.aggregate(F.transform(distinct, part), F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
+def char_counts(text: Column) -> Column:
+    """struct(n, top, distinct, entropy): characters, those of the most frequent one, the
+    different ones, and the Shannon entropy in bits; one sort of each text's characters."""
+    return _char_counts(text)
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy (bits) of the characters of the lower-cased text."""
+    return char_counts(F.lower(text))["entropy"]
 
 
 #: Labels of turns in the order of their rules, and their marks. Fixed values.
@@ -130,11 +146,6 @@ def density(chars: Column, native: Column, marks: Column) -> Column:
     return F.least(F.floor(chars / one(native) * (1 / one(marks)) * 1000).cast("int"), F.lit(9999))
 
 
-def perceptual_distance(a: Column, b: Column) -> Column:
-    """Hamming distance of 64-bit hashes."""
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def invariance(n: Column, concentration: Column, curvature: Column, entropy_: Column) -> Column:
     """struct(passed, score, failure) of the ordered gates with limits 10, 0.5, 0.4, 0.5."""
     ok = (n >= 10) & (concentration >= 0.5) & (curvature >= 0.4) & (entropy_ >= 0.5)

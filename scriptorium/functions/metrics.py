@@ -86,12 +86,6 @@ def bleu_1(pred: Column, ref: Column) -> Column:
     return F.when(some, F.least(F.lit(1.0), F.size(p) / F.size(r)) * clipped(p, r) / F.size(p)).otherwise(F.lit(0.0))
 
 
-def bleu_parts(pred: Column, ref: Column, order: int = 4) -> Column:
-    """array of struct(match, total) for each order, to be summed over a corpus."""
-    p, r = words(pred), words(ref)
-    return F.array(*(F.struct(clipped(ngrams(p, n), ngrams(r, n)).alias("match"), F.size(ngrams(p, n)).alias("total")) for n in range(1, order + 1)))
-
-
 def numeric_score(text: Column, correct: Column, tolerance: float = 0.1) -> Column:
     """By the last number of the text: 1 within the tolerance, else exp(-5 relative error)."""
     numbers = F.regexp_extract_all(text, F.lit("(-?[0-9]+\\.?[0-9]*)"), F.lit(1))

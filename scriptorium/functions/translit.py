@@ -194,11 +194,6 @@ def transliterate(text: Column, target: str = "latin", source: str | None = None
     )
 
 
-def to_all(text: Column) -> Column:
-    """struct(nko, latin, arabic) of a text."""
-    return F.struct(*(transliterate(text, t)["target_text"].alias(t) for t in ("nko", "latin", "arabic")))
-
-
 def syllabify_ipa(ipa: Column) -> Column:
     """Syllables that end after a vowel; what is left over joins the last one."""
     vowel = "[aeiouɔɛə]"

@@ -22,9 +22,9 @@ def tiered(df: DataFrame, dim: DataFrame, tiers: list[tuple[str, Column, Column]
         part = dim.groupBy(F.concat(F.lit(f"{i}:"), key).alias("__k")).agg(F.min(value).alias("__v")).withColumn("__t", F.lit(name)).withColumn("__i", F.lit(i))
         keyed = part if keyed is None else keyed.unionByName(part)
     ids = F.array(*(F.concat(F.lit(f"{i}:"), key) for i, (_, key, _) in enumerate(tiers)))
-    rows = df.withColumn("__id", F.xxhash64(F.struct(*df.columns)))
-    found = rows.select("__id", F.explode(ids).alias("__k")).join(keyed, "__k").groupBy("__id").agg(F.min_by(F.struct("__v", "__t"), "__i").alias("__m"))
-    return rows.join(found, "__id", "left").select(*df.columns, F.col("__m.__v").alias(value), F.coalesce("__m.__t", F.lit("none")).alias("tier"))
+    rows = df.withColumns({"__id": F.xxhash64(F.struct(*df.columns)), "__id2": F.xxhash64(F.lit(2), F.struct(*df.columns))})
+    found = rows.select("__id", "__id2", F.explode(ids).alias("__k")).join(keyed, "__k").groupBy("__id", "__id2").agg(F.min_by(F.struct("__v", "__t"), "__i").alias("__m"))
+    return rows.join(found, ["__id", "__id2"], "left").select(*df.columns, F.col("__m.__v").alias(value), F.coalesce("__m.__t", F.lit("none")).alias("tier"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

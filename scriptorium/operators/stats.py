@@ -43,6 +43,21 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranked.select(F.col(column).alias("__v"), rank.alias(out)), df[column].eqNullSafe(F.col("__v"))).drop("__v")
 
 
+def at_places(df: DataFrame, group: str, value: str, places: DataFrame) -> DataFrame:
+    """(group, place, value): the values at places (group, place; from 0) of each group's
+    ascending order, places being few. Values are counted, the counts go to ranges of
+    (group, value), and what a range holds of a group is accumulated there, after the totals
+    of the ranges before; so a group of any size is spread over ranges."""
+    counts = df.groupBy(group, value).agg(F.count("*").alias("__n"))
+    ranges = saved(counts.repartitionByRange(group, value).withColumn("__p", F.spark_partition_id()))
+    totals = ranges.groupBy(group, "__p").agg(F.sum("__n").alias("__t"))  # a row for each group and range
+    before = totals.withColumn("__b", F.coalesce(F.sum("__t").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
+    run = F.sum("__n").over(Window.partitionBy("__p", group).orderBy(value))
+    placed = ranges.withColumn("__r", run).join(F.broadcast(before), [group, "__p"]).withColumn("__to", F.col("__b") + F.col("__r"))
+    met = placed.join(F.broadcast(places), group)
+    return met.where((F.col("place") < F.col("__to")) & (F.col("place") >= F.col("__to") - F.col("__n"))).select(group, "place", value)
+
+
 #: Cumulative probabilities of a Poisson count of mean 1. Fixed values.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
 

@@ -42,17 +42,19 @@ def stats(v: Column, sparse: float = 0.01) -> Column:
     )
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, *, block: int = 512) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, *, block_bytes: int = 1 << 24) -> DataFrame:
     """(query_id, item_id, score, rank): the k largest cosines of each query over all items.
 
     queries (query_id, v) is a stated set, taken in blocks: the items are read once for each
-    block of at most ``block`` queries, whose vectors are broadcast (block x dimension
-    numbers). Each task keeps k candidates of a query before anything is shuffled. Work is
-    in Arrow batches, so scores come from matrix products. Ties go to the lesser item_id."""
+    block of queries, whose vectors are broadcast (``block_bytes`` at most, some 30,000
+    queries of 64 numbers). Each task keeps k candidates of a query before anything is
+    shuffled. Work is in Arrow batches, by matrix products of 512 queries and 512 items.
+    Ties go to the lesser item_id."""
     import numpy as np
     import pandas as pd
 
-    n = queries.count()
+    head = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    n, block = head["n"], max(1, block_bytes // (8 * max(1, head["width"] or 1)))
     parts, out = -(-n // block) or 1, None
     for p in range(parts):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).orderBy("query_id").toPandas()
@@ -64,17 +66,21 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, block: int = 512) ->
 
         def run(batches, shared=shared):
             ids, q = shared.value
-            best_s, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.array(pdf["v"].tolist(), np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
-                s = np.concatenate([best_s, q @ v.T], 1)
-                i = np.concatenate([best_i, np.broadcast_to(pdf["item_id"].to_numpy(np.int64), (len(ids), len(pdf)))], 1)
-                order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), "item_id": best_i.reshape(-1), "score": best_s.reshape(-1)})
+                for s0 in range(0, len(pdf), 512):
+                    own = pdf.iloc[s0 : s0 + 512]
+                    v = np.array(own["v"].tolist(), np.float64)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
+                    item = own["item_id"].to_numpy(np.int64)
+                    for q0 in range(0, len(ids), 512):
+                        here = slice(q0, q0 + 512)
+                        s = np.concatenate([best_s[here], q[here] @ v.T], 1)
+                        i = np.concatenate([best_i[here], np.broadcast_to(item, (len(s), len(item)))], 1)
+                        order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
+                        best_s[here], best_i[here] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            some = best_s > -np.inf
+            yield pd.DataFrame({"query_id": np.repeat(ids, k)[some.reshape(-1)], "item_id": best_i[some], "score": best_s[some]})
 
         found = items.select("item_id", "v").mapInPandas(run, "query_id long, item_id long, score double")
         out = found if out is None else out.unionByName(found)

@@ -112,11 +112,9 @@ def doc_sample_per_source(spark, d):
 
 @query("SELECT doc_id, n < 5 OR top / n > 0.7 AS degenerate FROM (SELECT doc_id, max(k) AS top, sum(k) AS n FROM (SELECT doc_id, c, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f]')) AS c FROM documents) GROUP BY doc_id, c) GROUP BY doc_id)")
 def doc_degenerate(spark, d):
-    """FLT06, within the row: the count of each different character by what taking it out leaves."""
-    seen = F.regexp_replace("text", "[ \\t\\n\\r\\f]", "")
-    out = docs(spark, d).select("doc_id", seen.alias("s")).withColumn("n", F.length("s"))
-    counts = F.transform(F.array_distinct(F.split("s", "")), lambda c: F.col("n") - F.length(F.replace(F.col("s"), c, F.lit(""))))
-    return out.where("n > 0").select("doc_id", ((F.col("n") < 5) | (F.array_max(counts) / F.col("n") > 0.7)).alias("degenerate"))
+    """FLT06: the most frequent character among those that are not white space."""
+    out = docs(spark, d).select("doc_id", features.char_counts(F.regexp_replace("text", "[ \\t\\n\\r\\f]", "")).alias("c"))
+    return out.where("c.n > 0").select("doc_id", ((F.col("c.n") < 5) | (F.col("c.top") / F.col("c.n") > 0.7)).alias("degenerate"))
 
 
 @query(
@@ -220,8 +218,8 @@ def doc_benchmark_exclusion(spark, d):
 def doc_quality_join(spark, d):
     """JN16, AG11: overall and by group."""
     j = docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
-    j.createOrReplaceTempView("__quality")
-    return spark.sql("SELECT lang, CAST(grouping(lang) AS BIGINT) AS overall, count(*) AS n, avg(quality) * 100 AS accuracy, avg(toxic) AS toxic, count_if(quality IS NULL) AS errors FROM __quality GROUP BY GROUPING SETS ((), (lang))")
+    sets = j.groupingSets([[], [F.col("lang")]], F.col("lang"))
+    return sets.agg(F.grouping("lang").cast("long").alias("overall"), F.count("*").alias("n"), (F.avg("quality") * 100).alias("accuracy"), F.avg("toxic").alias("toxic"), F.count_if(F.col("quality").isNull()).alias("errors"))
 
 
 @query(

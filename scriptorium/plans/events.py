@@ -44,8 +44,9 @@ def event_budget_admission(spark, d):
 @query("SELECT event_type, origin, CAST(grouping(event_type) AS BIGINT) AS g, count(*) AS n FROM (SELECT event_type, CAST(user_id % 5 AS BIGINT) AS origin FROM events) GROUP BY GROUPING SETS ((event_type), (origin))")
 def event_status_grouping_sets(spark, d):
     """AG18."""
-    events(spark, d).select("event_type", F.pmod("user_id", F.lit(5)).cast("long").alias("origin")).createOrReplaceTempView("__queue")
-    return spark.sql("SELECT event_type, origin, CAST(grouping(event_type) AS BIGINT) AS g, count(*) AS n FROM __queue GROUP BY GROUPING SETS ((event_type), (origin))")
+    e = events(spark, d).select("event_type", F.pmod("user_id", F.lit(5)).cast("long").alias("origin"))
+    sets = e.groupingSets([[F.col("event_type")], [F.col("origin")]], F.col("event_type"), F.col("origin"))
+    return sets.agg(F.grouping("event_type").cast("long").alias("g"), F.count("*").alias("n"))
 
 
 @query(f"""SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(s) AS start, max(s) AS stop, round(min(value), 6) AS confidence FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id) AS island FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER w AND s - lag(s) OVER w < 86400 THEN 0 ELSE 1 END AS fresh FROM (SELECT event_id, user_id, event_type, value, {SECONDS} AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))) GROUP BY user_id, island""")
@@ -183,11 +184,11 @@ def event_bootstrap(spark, d):
 
 @query("SELECT event_type, count(*) AS n, avg(value) AS mean, min(value) AS least, max(value) AS most, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS median, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median, count(*) FILTER (value >= 99) AS perfect, count(*) FILTER (value < 1) AS zero FROM events GROUP BY event_type")
 def event_summary(spark, d):
-    """AG08, AG09, AG10, AG12: both medians, moments, extremes. The upper median comes
-    from the counts of values, so no group is collected."""
+    """AG08, AG09, AG10, AG12: both medians, moments, extremes. Medians come from ranges of
+    counted values, so no group is collected or ordered in one place."""
     e = events(spark, d)
-    base = e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.stddev_pop("value").alias("std"), F.percentile("value", 0.5).alias("median"), F.count_if(F.col("value") >= 99).alias("perfect"), F.count_if(F.col("value") < 1).alias("zero"))
-    # position n div 2 from the start: the least value with more than that many values at or below it
-    counts = e.groupBy("event_type", "value").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("event_type").orderBy("value")))
-    upper = counts.join(base.select("event_type", "n"), "event_type").where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("event_type").agg(F.min("value").alias("upper_median"))
-    return base.join(upper, "event_type")
+    base = e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.stddev_pop("value").alias("std"), F.count_if(F.col("value") >= 99).alias("perfect"), F.count_if(F.col("value") < 1).alias("zero"))
+    places = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    found = stats.at_places(e, "event_type", "value", base.select("event_type", F.explode(F.array_distinct(places)).alias("place")))
+    medians = found.groupBy("event_type").agg(F.avg("value").alias("median"), F.max_by("value", "place").alias("upper_median"))
+    return base.join(medians, "event_type")

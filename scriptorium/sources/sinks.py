@@ -25,11 +25,6 @@ def fan_out(frames: DataFrame, key: str, path: str) -> dict[str, DataFrame]:
     return tables
 
 
-def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Work that is not in the table of finished keys."""
-    return work.join(done.select(key), key, "left_anti")
-
-
 def progress(events: DataFrame) -> DataFrame:
     """Counters of runs from their log: increments are summed, absolute values keep the latest."""
     return events.groupBy("run_id").agg(F.sum("increment").alias("total"), F.max_by("absolute", "at").alias("latest"), F.count("*").alias("events"))
