@@ -22,9 +22,10 @@ and common passages, last in the order, bring together only sets made of little
 else. A second exchange groups the kept signatures.
 
 Scale. Equal sets become one class before anything is compared. Signatures travel
-packed, as a few binary rows for each batch, to buckets whose number follows the
-size of the input. The least member of a kept signature's group is its pivot, so a
-group of n gives n - 1 rows, never all pairs; a group whose members all have the
+packed, as a binary row for each batch and bucket, to buckets whose number follows the
+size of the input: with several for each of very many partitions, rows would hold
+hardly more than one signature. The least member of a kept signature's group is its
+pivot, so a group of n gives n - 1 rows, never all pairs; a group whose members all have the
 same signature before it in their lists met there and gives none. Blocks of a pivot
 are joined whole if small; large ones are cut by size class and hash into chunks
 that all hold the pivot, components are found, and only members outside the block's
@@ -49,6 +50,7 @@ their names cannot clash.
 from __future__ import annotations
 
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,7 @@ from .components import components
 DOC, LINK, EQUAL, SHARED, FAMILIES, SIGNATURES, DIGESTS = range(7)
 SMALL_BLOCK = 400
 CHUNK = 256
+ROW_CHARS = 1024
 
 
 def sets_of(batch, text: str, n: int) -> list[np.ndarray]:
@@ -206,6 +209,14 @@ def _unplanes(packed: bytes, columns: int) -> list[np.ndarray]:
 _WIDTH = {SHARED: 4, FAMILIES: 4, SIGNATURES: 3, DIGESTS: 3}
 
 
+def deal(chars: int, partitions: int, bucket_chars: int) -> tuple[int, int]:
+    """(buckets, tasks that gather them) for texts of so many characters. A task packs a
+    row for each bucket, so buckets are few enough that tasks times buckets stay near a
+    row for ROW_CHARS characters, unless more are needed to keep a bucket in memory."""
+    buckets = min(1 << 30, max(16, min(4 * partitions, isqrt(chars // ROW_CHARS)), chars // bucket_chars))
+    return buckets, max(partitions, buckets // 4)
+
+
 def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -527,8 +538,7 @@ def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
         raise ValueError("percent must be from 65 to 100")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = min(1 << 30, max(4 * partitions(docs), int(chars) // bucket_chars))
-    dealt = max(partitions(docs), buckets // 4)
+    buckets, dealt = deal(int(chars), partitions(docs), bucket_chars)
     packed = docs.mapInArrow(lambda batches: _emit(batches, "doc_id", "text", n, percent, buckets), _OUT_DDL)
     met = saved(packed.repartition(dealt, "bucket").mapInArrow(lambda batches: _meet(batches, buckets), _OUT_DDL))
 

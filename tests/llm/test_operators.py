@@ -179,6 +179,47 @@ def test_pair_rows_follow_the_input():
     assert {x["node"] for x in pairs} | {x["p"] for x in pairs} == set(range(30)) and len(pairs) <= 30 * 29 // 2 < shared / 10
 
 
+def test_ngram_join_packs_rows_on_many_partitions(spark, monkeypatch):
+    """What is dealt to buckets stays packed where partitions are many beside the input: rows do not grow with their square."""
+    r = random.Random(80)
+    v = vocabulary(r, 2000)
+    group, texts = [r.choice(v) for _ in range(100)], []
+    for i in range(300):
+        if i % 2 == 0:
+            base = list(group) if i % 3 == 0 else [r.choice(v) for _ in range(100)]
+        w = list(base)
+        w[r.randrange(len(w))] = r.choice(v)
+        texts.append(" ".join(w))
+    rows, counted = [(i * 31 % 1009, t) for i, t in enumerate(texts)], []
+
+    def counting(df):
+        df = saved(df)
+        if "packed" in df.columns:
+            x = df.where(F.col("kind") == ngram_join.SHARED).agg(F.count("*").alias("rows"), F.sum(F.length("packed")).alias("bytes")).first()
+            counted.append((x.rows, x.bytes // (8 * ngram_join._WIDTH[ngram_join.SHARED])))
+        return df
+
+    saved = ngram_join.saved
+    monkeypatch.setattr(ngram_join, "saved", counting)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.link(documents(spark, rows), n=3, percent=90).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_components(rows, 3, 90)
+    ((packed, entries),) = counted
+    assert entries > 1000 and packed < entries / 4
+
+
+@pytest.mark.parametrize("chars", [0, 10**4, 10**6, 53_452_284, 10**9, 10**10])
+def test_rows_of_buckets_follow_the_input(chars):
+    for partitions in (1, 12, 211, 5000):
+        buckets, tasks = ngram_join.deal(chars, partitions, 1 << 22)
+        assert min(tasks, buckets) * buckets <= max(256, chars // 1024)
+        assert buckets >= chars // (1 << 22)
+
+
 def test_sketches_never_exclude_a_pair():
     r = np.random.default_rng(5)
     for _ in range(200):
