@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _text
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,9 +89,11 @@ def tidy() -> None:
         trim(0)
 
 
-def append(df: DataFrame, compute, fields: str) -> DataFrame:
+def append(df: DataFrame, compute, fields: str, text: str | None = None, limit: int = 1 << 20) -> DataFrame:
     """df with more columns from ``compute(record_batch) -> list of arrays``, one
-    batch at a time. Input columns of the same names (in any case) are replaced."""
+    batch at a time; where ``text`` names a column, batches are cut to about ``limit``
+    bytes of it, so that neither side holds results of more. Input columns of the same
+    names (in any case) are replaced."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -102,7 +106,7 @@ def append(df: DataFrame, compute, fields: str) -> DataFrame:
     out_names = [*keep, *(f.name for f in new)]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in (_text.pieces(whole, named(whole, text), limit) if text else [whole])):
             arrays = compute(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *(a if isinstance(a, pa.Array) and a.type == t else pa.array(a, t) for a, t in zip(arrays, types, strict=True))], names=out_names)
         tidy()
@@ -110,7 +114,11 @@ def append(df: DataFrame, compute, fields: str) -> DataFrame:
     return df.mapInArrow(run, StructType([*kept, *new.fields]))
 
 
+def named(batch, name: str) -> str:
+    """The batch's own name of a column that is named in any case."""
+    return next(x for x in batch.schema.names if x.lower() == name.lower())
+
+
 def column(batch, name: str):
     """A column by its name in any case."""
-    found = [i for i, x in enumerate(batch.schema.names) if x.lower() == name.lower()]
-    return batch.column(found[0])
+    return batch.column(named(batch, name))

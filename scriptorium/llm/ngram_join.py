@@ -24,9 +24,10 @@ else. A second exchange groups the kept signatures.
 Scale. Equal sets become one class before anything is compared. Signatures travel
 packed, as a binary row for each batch and bucket, to buckets whose number follows the
 size of the input: with several for each of very many partitions, rows would hold
-hardly more than one signature. The least member of a kept signature's group is its
-pivot, so a group of n gives n - 1 rows, never all pairs; a group whose members all have the
-same signature before it in their lists met there and gives none. Blocks of a pivot
+hardly more than one signature. A task that gathers buckets unpacks one at a time. The
+least member of a kept signature's group is its pivot, so a group of n gives n - 1
+rows, never all pairs; a group whose members all have the same signature before it in
+their lists met there and gives none. Blocks of a pivot
 are joined whole if small; large ones are cut by size class and hash into chunks
 that all hold the pivot, components are found, and only members outside the block's
 largest component are compared with the chunks of near size classes, a chunk of
@@ -65,6 +66,8 @@ DOC, LINK, EQUAL, SHARED, FAMILIES, SIGNATURES, DIGESTS = range(7)
 SMALL_BLOCK = 400
 CHUNK = 256
 ROW_CHARS = 1024
+#: Bytes of text whose n-grams are made at once, and n-grams whose signatures are; a set at least.
+AT_ONCE = 3 << 16
 
 
 def sets_of(batch, text: str, n: int) -> list[np.ndarray]:
@@ -107,7 +110,18 @@ def _cut(percent: int, label: int) -> tuple[int, int]:
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signature, set number, family) of all sets, and the families as rows (set
     number, family, spare). A family is one cut of a set, spare the number of its
-    signatures beyond those that the pigeonhole needs."""
+    signatures beyond those that the pigeonhole needs. Sets are taken in runs of about
+    AT_ONCE n-grams."""
+    bounds, at, parts = np.cumsum([0, *map(len, sets)]), 0, []
+    while at < len(sets) or not parts:
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + AT_ONCE, "right")) - 1)
+        value, number, family, families = _signatures(sets[at:stop], percent)
+        parts.append((value, number + at, family, families + np.array([at, 0, 0])))
+        at = stop
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = _class_bounds(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     label0 = np.searchsorted(low, sizes, "right") - 1
@@ -214,7 +228,7 @@ def deal(chars: int, partitions: int, bucket_chars: int) -> tuple[int, int]:
     row for each bucket, so buckets are few enough that tasks times buckets stay near a
     row for ROW_CHARS characters, unless more are needed to keep a bucket in memory."""
     buckets = min(1 << 30, max(16, min(4 * partitions, isqrt(chars // ROW_CHARS)), chars // bucket_chars))
-    return buckets, max(partitions, buckets // 4)
+    return buckets, max(partitions, buckets // 2)
 
 
 def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -233,6 +247,7 @@ def _dealt(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatc
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(starts[1:], len(bucket))
     packed = [_planes(*(c[s:e] for c in columns)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    del columns, order
     none = [None] * len(packed)
     return _rows(bucket[starts], kind, none, none, packed)
 
@@ -240,7 +255,7 @@ def _dealt(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatc
 def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
     for whole_batch in batches:
         for batch in _text.pieces(whole_batch, text, 1 << 22):
-            sets = sets_of(batch, text, n)
+            sets = [s for part in _text.pieces(batch, text, AT_ONCE) for s in sets_of(part, text, n)]
             ids = column(batch, doc_id)
             known = np.asarray(ids.is_valid())
             ids_np = np.asarray(ids.fill_null(0)).astype(np.int64)
@@ -263,25 +278,35 @@ def _emit(batches, doc_id: str, text: str, n: int, percent: int, buckets: int):
             use = np.array(use)
             owners = ids_np[use]
             sig, number, family, families = signatures([sets[i] for i in use], percent)
+            del sets
             yield _dealt(SIGNATURES, _spread(sig, buckets), sig, owners[number], family)
+            del sig, number, family
             yield _dealt(DIGESTS, _spread(digest[use, 0], buckets), digest[use, 0], digest[use, 1], owners)
             own = owners[families[:, 0]]
             yield _dealt(FAMILIES, _home(own, buckets), own, np.ascontiguousarray(families[:, 1]), np.ascontiguousarray(families[:, 2]), digest[use, 0][families[:, 0]])
-            del sets, sig, number, family, families
+            del families
     tidy()
 
 
 def _gather(batches, kinds: tuple[int, ...], rest):
-    """All packed columns of these kinds; rows of others go to rest(batch) one batch at a time."""
-    parts = {k: [] for k in kinds}
+    """Packed rows of these kinds by bucket and kind, for _buckets(); rows of others go to rest(batch) one batch at a time."""
+    found: dict[int, dict[int, list]] = {}
     for batch in batches:
         kind = np.asarray(batch.column("kind"))
         packed = np.isin(kind, kinds)
         if not packed.all():
             yield from rest(batch.take(pa.array(np.flatnonzero(~packed))))
+        of, rows = np.asarray(batch.column("bucket")), batch.column("packed")
         for i in np.flatnonzero(packed).tolist():
-            parts[kind[i]].append(_unplanes(batch.column("packed")[i].as_py(), _WIDTH[kind[i]]))
-    return {k: [np.concatenate(c) for c in zip(*p, strict=True)] if p else [np.zeros(0, np.uint64)] * _WIDTH[k] for k, p in parts.items()}
+            found.setdefault(int(of[i]), {k: [] for k in kinds})[int(kind[i])].append(rows[i].as_buffer())
+    return found
+
+
+def _buckets(found: dict[int, dict[int, list]]):
+    """All columns of each kind, a bucket at a time; rows that belong together are in one bucket."""
+    while found:
+        _, parts = found.popitem()
+        yield {k: [np.concatenate(c) for c in zip(*(_unplanes(x, _WIDTH[k]) for x in p), strict=True)] if p else [np.zeros(0, np.uint64)] * _WIDTH[k] for k, p in parts.items()}
 
 
 def _numbers(*columns: np.ndarray) -> np.ndarray:
@@ -295,87 +320,110 @@ def _numbers(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(batches, buckets: int):
-    """Where whole buckets are together: signatures of two sets or more with their
-    counts, to their owners, and the least owner of each digest."""
-    parts = yield from _gather(batches, (SIGNATURES, DIGESTS), lambda plain: [plain])
-    sig, owner, family = parts[SIGNATURES]
+def _shared(sig: np.ndarray, owner: np.ndarray, family: np.ndarray) -> list[np.ndarray]:
+    """(owner, family, signature, count of its owners) where these are two or more."""
     owner = owner.view(np.int64)
     order = np.lexsort((owner, sig))
     sig, owner, family = sig[order], owner[order], family[order]
-    if len(sig):
-        start = np.concatenate([[True], sig[1:] != sig[:-1]])
-        other = start | np.concatenate([[True], owner[1:] != owner[:-1]])
-        group = np.cumsum(start) - 1
-        count = np.bincount(group[other])[group]
-        two = count > 1
-        if two.any():
-            yield _dealt(SHARED, _home(owner[two], buckets), owner[two], family[two], sig[two], count[two])
-    del sig, owner, family, order
-    high, low, owner = parts[DIGESTS]
+    start = np.concatenate([[True], sig[1:] != sig[:-1]])
+    other = start | np.concatenate([[True], owner[1:] != owner[:-1]])
+    group = np.cumsum(start) - 1
+    count = np.bincount(group[other])[group]
+    two = count > 1
+    return [owner[two], family[two], sig[two], count[two]]
+
+
+def _equal(high: np.ndarray, low: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Rows (least owner of a digest, another one)."""
+    number, owner = _numbers(high, low), owner.view(np.int64)
+    order = np.lexsort((owner, number))
+    number, owner = number[order], owner[order]
+    start = np.concatenate([[True], number[1:] != number[:-1]])
+    least = owner[np.maximum.accumulate(np.where(start, np.arange(len(owner)), 0))]
+    return np.unique(np.stack([least, owner], 1)[least != owner], axis=0)
+
+
+def _meet(batches, buckets: int):
+    """Where whole buckets are together: signatures of two sets or more with their
+    counts, to their owners, and the least owner of each digest."""
+    shared, copies = [], []
+    for parts in _buckets((yield from _gather(batches, (SIGNATURES, DIGESTS), lambda plain: [plain]))):
+        if len(parts[SIGNATURES][0]):
+            shared.append(_shared(*parts.pop(SIGNATURES)))
+        if len(parts[DIGESTS][0]):
+            copies.append(_equal(*parts.pop(DIGESTS)))
+    owner, family, sig, count = (np.concatenate(c) for c in zip(*shared, strict=True)) if shared else [np.zeros(0, np.int64)] * 4
+    del shared
     if len(owner):
-        number, owner = _numbers(high, low), owner.view(np.int64)
-        order = np.lexsort((owner, number))
-        number, owner = number[order], owner[order]
-        start = np.concatenate([[True], number[1:] != number[:-1]])
-        least = owner[np.maximum.accumulate(np.where(start, np.arange(len(owner)), 0))]
-        copy = np.unique(np.stack([least, owner], 1)[least != owner], axis=0)
-        if len(copy):
-            yield _rows(_home(np.ascontiguousarray(copy[:, 1]), buckets), EQUAL, copy[:, 0], copy[:, 1])
+        yield _dealt(SHARED, _home(owner, buckets), owner, family, sig, count)
+    copy = np.concatenate([np.zeros((0, 2), np.int64), *copies])
+    if len(copy):
+        yield _rows(_home(np.ascontiguousarray(copy[:, 1]), buckets), EQUAL, copy[:, 0], copy[:, 1])
     tidy()
 
 
+def _kept(shared: list[np.ndarray], families: list[np.ndarray], copies: np.ndarray) -> list[np.ndarray]:
+    """(signature, owner, the one before it) of the signatures that owners keep."""
+    owner, family, sig, count = shared
+    of, kind, spare, tag = families
+    m = len(owner)
+    sets = np.unique(np.stack([of, tag], 1), axis=0)[:, 0]
+    several = sets[1:][sets[1:] == sets[:-1]]  # owners of different texts keep all
+    single = ~np.isin(owner, several)
+    here = ~(single & np.isin(owner, copies))
+    number = _numbers(np.concatenate([owner, of]), np.concatenate([family, kind]))
+    spares = np.zeros(int(number.max()) + 1, np.int64)
+    spares[number[m:]] = spare.view(np.int64)
+    number = number[:m]
+    order = np.lexsort((sig, count, number))
+    order = order[np.concatenate([[True], (np.diff(number[order]) != 0) | (sig[order][1:] != sig[order][:-1])])]  # rows repeated in other batches
+    number, sig, owner, single, here = number[order], sig[order], owner[order], single[order], here[order]
+    start = np.concatenate([[True], number[1:] != number[:-1]])
+    place = np.arange(len(number)) - np.maximum.accumulate(np.where(start, np.arange(len(number)), 0))
+    total = np.bincount(number)[number]
+    keep = here & (~single | (place < total - spares[number]))
+    before = np.where(start | ~single, np.uint64(0), np.concatenate([[np.uint64(0)], sig[:-1]]))
+    return [sig[keep], owner[keep], before[keep]]
+
+
 def _prefix(batches, buckets: int):
     """Where all of an owner is together: the kept signatures of each family, in
     ascending order of count, each with the one before it in that list."""
-    copies = [np.zeros(0, np.int64)]
+    copies, kept = [np.zeros(0, np.int64)], []
 
     def rest(batch):
         copies.append(np.asarray(batch.column("b")))
         return ()
 
-    parts = yield from _gather(batches, (SHARED, FAMILIES), rest)
-    owner, family, sig, count = parts[SHARED]
-    of, kind, spare, tag = parts[FAMILIES]
-    m = len(owner)
-    if m:
-        sets = np.unique(np.stack([of, tag], 1), axis=0)[:, 0]
-        several = sets[1:][sets[1:] == sets[:-1]]  # owners of different texts keep all
-        single = ~np.isin(owner, several)
-        here = ~(single & np.isin(owner, np.concatenate(copies).view(np.uint64)))
-        number = _numbers(np.concatenate([owner, of]), np.concatenate([family, kind]))
-        spares = np.zeros(int(number.max()) + 1, np.int64)
-        spares[number[m:]] = spare.view(np.int64)
-        number = number[:m]
-        order = np.lexsort((sig, count, number))
-        order = order[np.concatenate([[True], (np.diff(number[order]) != 0) | (sig[order][1:] != sig[order][:-1])])]  # rows repeated in other batches
-        number, sig, owner, single, here = number[order], sig[order], owner[order], single[order], here[order]
-        start = np.concatenate([[True], number[1:] != number[:-1]])
-        place = np.arange(len(number)) - np.maximum.accumulate(np.where(start, np.arange(len(number)), 0))
-        total = np.bincount(number)[number]
-        keep = here & (~single | (place < total - spares[number]))
-        before = np.where(start | ~single, np.uint64(0), np.concatenate([[np.uint64(0)], sig[:-1]]))
-        if keep.any():
-            yield _dealt(SIGNATURES, _spread(sig[keep], buckets), sig[keep], owner[keep], before[keep])
+    found = yield from _gather(batches, (SHARED, FAMILIES), rest)
+    copies = np.concatenate(copies).view(np.uint64)
+    for parts in _buckets(found):
+        if len(parts[SHARED][0]):
+            kept.append(_kept(parts.pop(SHARED), parts.pop(FAMILIES), copies))
+    sig, owner, before = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else [np.zeros(0, np.uint64)] * 3
+    if len(sig):
+        yield _dealt(SIGNATURES, _spread(sig, buckets), sig, owner, before)
     tidy()
 
 
-def _pair(batches):
-    """(p, node): the least owner of each kept signature with each other one, unless
-    all of them met at the signature before it."""
-    parts = yield from _gather(batches, (SIGNATURES,), lambda plain: ())
-    sig, owner, before = parts[SIGNATURES]
+def _met(sig: np.ndarray, owner: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Rows (least owner of a signature, another one)."""
     owner = owner.view(np.int64)
     order = np.lexsort((before, owner, sig))
     sig, owner, before = sig[order], owner[order], before[order]
-    pairs = np.zeros((0, 2), np.int64)
-    if len(sig):
-        start = np.concatenate([[True], sig[1:] != sig[:-1]])
-        group = np.cumsum(start) - 1
-        first = np.flatnonzero(start)[group]
-        new = (before == 0) | (before != before[first])
-        differ = (owner != owner[first]) & (np.bincount(group, new)[group] > 0)
-        pairs = np.unique(np.stack([owner[first], owner], 1)[differ], axis=0)
+    start = np.concatenate([[True], sig[1:] != sig[:-1]])
+    group = np.cumsum(start) - 1
+    first = np.flatnonzero(start)[group]
+    new = (before == 0) | (before != before[first])
+    differ = (owner != owner[first]) & (np.bincount(group, new)[group] > 0)
+    return np.unique(np.stack([owner[first], owner], 1)[differ], axis=0)
+
+
+def _pair(batches):
+    """(p, node): the least owner of each kept signature with each other one, unless
+    all of them met at the signature before it."""
+    found = yield from _gather(batches, (SIGNATURES,), lambda plain: ())
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *(_met(*parts[SIGNATURES]) for parts in _buckets(found))]), axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "node"])
     tidy()
 

@@ -142,7 +142,7 @@ def encode(docs: DataFrame, vocabulary: dict, *, text: str = "text") -> DataFram
         ok = [codec.decode(ids[a:b].tolist()) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)).cast(pa.list_(pa.int32())), np.diff(offsets).astype(np.int64), ok
 
-    return append(docs, compute, "token_ids array<int>, n_tokens long, decoded_ok boolean")
+    return append(docs, compute, "token_ids array<int>, n_tokens long, decoded_ok boolean", text)
 
 
 def decode(docs: DataFrame, vocabulary: dict, *, ids: str = "token_ids") -> DataFrame:

@@ -449,12 +449,10 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(batch):
-        name = next(c for c in batch.schema.names if c.lower() == text.lower())
-        parts = [shared.value.scores(*_text.buffers(column(p, text))[:2]) for p in _text.pieces(batch, name)]
-        s = np.concatenate(parts) if parts else np.zeros(0)
+        s = shared.value.scores(*_text.buffers(column(batch, text))[:2])
         return s, (s >= 0.5).astype(np.int32)
 
-    return append(docs, compute, "score double, predicted int")
+    return append(docs, compute, "score double, predicted int", text)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -220,6 +220,54 @@ def test_rows_of_buckets_follow_the_input(chars):
         assert buckets >= chars // (1 << 22)
 
 
+def test_gathering_takes_a_bucket_at_a_time():
+    """A task that gathers many buckets needs little more memory than its input."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    sig, owner = r.integers(0, 1 << 63, 400_000).astype(np.uint64), r.integers(0, 1 << 40, 400_000)
+    sig[:1000] = sig[1000:2000]
+    rows = [ngram_join._dealt(ngram_join.SIGNATURES, ngram_join._spread(s, 32), s, o, np.zeros(len(s), np.int64)) for s, o in zip(np.split(sig, 8), np.split(owner, 8), strict=True)]
+    for step, size in ((lambda x: ngram_join._meet(x, 32), 2000), (ngram_join._pair, 1000)):
+        tracemalloc.start()
+        try:
+            out = list(step(iter(rows)))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < sum(b.nbytes for b in rows)
+        got = sum(len(ngram_join._unplanes(x, 4)[0]) for b in out for x in b.column("packed").to_pylist()) if size == 2000 else sum(b.num_rows for b in out)
+        assert got == size
+
+
+def test_signatures_do_not_depend_on_runs(monkeypatch):
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in (0, 1, 3, 40, 700, 0, 90, 5000, 2, 0)]
+    *whole, families = ngram_join.signatures(sets, 80)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 100)
+    *runs, more = ngram_join.signatures(sets, 80)
+    assert sorted(zip(*(c.tolist() for c in whole), strict=True)) == sorted(zip(*(c.tolist() for c in runs), strict=True))
+    assert sorted(families.tolist()) == sorted(more.tolist())
+    assert all(len(c) == 0 for c in ngram_join.signatures([], 80))
+
+
+def test_results_are_made_for_few_texts_at_a_time(spark, monkeypatch):
+    """Encoding and scoring cut batches by their text, so that results of few texts are held."""
+    from scriptorium.llm import _spark
+
+    rows = [(i, None if i % 50 == 7 else "ab " * (i % 9) * 20) for i in range(300)]
+    docs = documents(spark, rows).coalesce(1)
+    got = _spark.append(docs, lambda batch: [[batch.num_rows] * batch.num_rows], "n long", "TEXT", 2000).collect()
+    assert sorted((x.doc_id, x.text) for x in got if x.text is not None) == sorted(x for x in rows if x[1] is not None) and len(got) == 300
+    assert max(x.n for x in got) < 60
+    cut, none = [], toxicity.Lookup(np.zeros(0, np.uint64), np.zeros(0))
+    for module in (pieces, toxicity):
+        monkeypatch.setattr(module, "append", lambda df, compute, fields, text=None: cut.append(text))
+    pieces.encode(docs, pieces.vocabulary())
+    toxicity.score(docs, toxicity.Model(toxicity.Words(none, [none, none]), toxicity.Network(), 1.0, 0.0))
+    assert cut == ["text", "text"]
+
+
 def test_sketches_never_exclude_a_pair():
     r = np.random.default_rng(5)
     for _ in range(200):
